@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express over the whole tables."""
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": rf"""

@@ -80,12 +80,12 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+`, and words per document."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words `[^\\x20\\x09-\\x0D]+` (or other blanks), and words per document."""
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~blank[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first = inside.copy()
@@ -116,9 +116,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Words:
     """The words of a batch of documents and their hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = _SPACE):
         self.data = ASCII_LOWER[data] if lower else data
-        self.starts, self.ends, self.counts = word_spans(self.data, offsets)
+        self.starts, self.ends, self.counts = word_spans(self.data, offsets, blank)
         self.hashes = span_hashes(self.data, self.starts, self.ends)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])  # first word of each document
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import _chunks as C
@@ -130,7 +131,7 @@ def _cut(width: int):
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "removed": pa.array([], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), "kept_text": pa.array([], pa.string())})
         table = C.by_document(table)
-        text = pa.compute.binary_join_element_wise(table["text"].fill_null(""), "", " ")  # a blank after every word
+        text = pc.binary_join_element_wise(table["text"].fill_null(""), "", " ")  # a blank after every word
         data, offsets = column_bytes(text)
         words = Words(data, offsets)
         start = words.starts_of(width)

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality, toxicity
+from . import media, quality, toxicity, warc
 from ._labelled import held_out
+from ._store import written
 from .line_dedup import drop_common_lines
 from .packing import pack_sequences
 from .substring_dedup import remove_repeats
@@ -17,6 +18,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    records = warc.mark_revisits(warc.read_arcs(warc.write_arcs(pages)), least=0)
+    archives = written(warc.write_warcs(records), compression="none")
+    return warc.read_warcs(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents"), width=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,6 +44,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = media.store_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    files = files.withColumns({"media_bytes": F.octet_length("media").cast("long"), "media_sha256": F.sha2("media", 256)})
+    found = media.index_media(files, keep=("doc_id", "n_bytes", "media_bytes", "media_sha256"), samples=True).withColumn("t", F.col("tracks")[0])
+    last = F.element_at("t.keyframes", -1)
+    feature = F.concat_ws(";", F.col("t.codec"), F.concat_ws("x", "t.width", "t.height"), F.concat_ws("/", "t.duration", "t.timescale"), "t.samples", F.size("t.keyframes").cast("string"), F.concat_ws("+", last["start"], last["length"]))
+    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"), "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -52,9 +69,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
+    "op5_media": op5_media,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -11,9 +11,13 @@ from ._labelled import held_out
 from ._store import written
 from .line_dedup import drop_common_lines
 from .packing import pack_sequences
+from .token_counts import count_tokens, write_token_files
 from .substring_dedup import remove_repeats
 
 
+END_OF_TEXT = 49407  # of the vocabulary below
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -59,6 +63,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = write_token_files(read(spark, sf_dir, "documents"), tokenizer=vocabulary(), end=END_OF_TEXT)
+    return count_tokens(blocks, END_OF_TEXT, names="ids").select(F.col("name").alias("doc_id"), "n_tokens", "file", "document", "start")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read(spark, sf_dir, "documents"), tokenizer=vocabulary(), end=2, limit=4096)
 
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
+    "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -10,6 +10,7 @@ from . import media, quality, toxicity, warc
 from ._labelled import held_out
 from ._store import written
 from .line_dedup import drop_common_lines
+from .near_dup import near_duplicates
 from .packing import pack_sequences
 from .token_counts import count_tokens, write_token_files
 from .substring_dedup import remove_repeats
@@ -63,6 +64,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = write_token_files(read(spark, sf_dir, "documents"), tokenizer=vocabulary(), end=END_OF_TEXT)
     return count_tokens(blocks, END_OF_TEXT, names="ids").select(F.col("name").alias("doc_id"), "n_tokens", "file", "document", "start")
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_media": op5_media,
+    "op6_minhash": op6_minhash,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,

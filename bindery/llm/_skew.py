@@ -24,13 +24,13 @@ def components(links: DataFrame) -> DataFrame:
     grow with the logarithm of the longest path.  Each round is a table in the
     shared folder; only its count of changes reaches the driver.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = written(edges.groupBy(F.col("a").alias("doc")).agg(F.least(F.col("doc"), F.min("b")).alias("comp")))
+    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), compact=True)
+    labels = written(edges.groupBy(F.col("a").alias("doc")).agg(F.least(F.col("doc"), F.min("b")).alias("comp")), compact=True)
     while True:
         near = edges.join(labels, edges.a == labels.doc).groupBy(F.col("b").alias("doc")).agg(F.min("comp").alias("near"))
         nearer = labels.join(near, "doc", "left").select("doc", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         target = labels.select(F.col("doc").alias("_doc"), F.col("comp").alias("_comp"))
-        jumped = written(nearer.join(target, nearer.comp == target._doc, "left").select("doc", "old", F.least("comp", "_comp").alias("comp")))
+        jumped = written(nearer.join(target, nearer.comp == target._doc, "left").select("doc", "old", F.least("comp", "_comp").alias("comp")), compact=True)
         if not jumped.where("comp <> old").limit(1).count():
             return labels
         labels = jumped.select("doc", "comp")

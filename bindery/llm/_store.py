@@ -17,9 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
-def written(frame: DataFrame, **options: str) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read again; removed when the session's JVM ends."""
+def written(frame: DataFrame, compact: bool = False, **options: str) -> DataFrame:
+    """The frame, written as Parquet in the shared folder and read again; removed when the session's JVM ends.
+
+    `compact`, for tables of few bytes a row and many partitions: at most four files a core.
+    """
     spark = frame.sparkSession
+    if compact:
+        frame = frame.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark).rstrip('/')}/bindery-{uuid.uuid4().hex}"
     frame.write.options(**options).parquet(path)
     jvm = spark.sparkContext._jvm

@@ -211,24 +211,24 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     pairs = members.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
     with_a = pairs.join(sketch, pairs.a == sketch._doc).select("a", "b", F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
     with_b = with_a.join(sketch, with_a.b == sketch._doc).select("a", "b", "na", "ra", F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    near = written(with_b.mapInArrow(_likely(limit), "a long, b long"))
+    near = written(with_b.mapInArrow(_likely(limit), "a long, b long"), compact=True)
     many = near.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", _blocks("n", BLOCK).alias("nj"))
     queries = dealt_join(near, many.where("nj > 1"), ["b"], F.col("a")).select(F.col("b").alias("g"), F.lit(0).alias("i"), F.pmod(F.xxhash64(F.lit(1), "a"), F.coalesce("nj", F.lit(1))).cast("int").alias("j"), F.lit(1).alias("role"), F.col("a").alias("doc_id"))
     leaders = many.select(F.col("b").alias("g"), F.lit(0).alias("i"), _all("nj").alias("j"), F.lit(0).alias("role"), F.col("b").alias("doc_id"))
-    found = written(_verified(texts, queries.unionByName(leaders), width, percent))
+    found = written(_verified(texts, queries.unionByName(leaders), width, percent), compact=True)
     labels = components(found)
 
     # buckets that still hold several components
     placed = members.join(labels, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
     shares = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_keys = shares.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("rows")).where("rows > most.n")
-    open_keys = written(open_keys.select("key", F.col("most.comp").alias("largest"), _blocks("rows", SKETCH_BLOCK).alias("ni"), F.ceil((F.col("rows") - F.col("most.n")) / SKETCH_BLOCK).cast("int").alias("nj")))
+    open_keys = written(open_keys.select("key", F.col("most.comp").alias("largest"), _blocks("rows", SKETCH_BLOCK).alias("ni"), F.ceil((F.col("rows") - F.col("most.n")) / SKETCH_BLOCK).cast("int").alias("nj")), compact=True)
     held = dealt_join(placed, open_keys, ["key"], F.col("doc"), "inner", salts=16).join(sketch, F.col("doc") == F.col("_doc")).withColumnRenamed("doc", "doc_id")
     columns = ["key", "i", "j", "role", "doc_id", "comp", "n_shingles", "registers"]
     rows = held.withColumn("i", _one("ni", 2)).withColumn("j", _all("nj")).withColumn("role", F.lit(0)).select(*columns)
     asking = held.where("comp <> largest").withColumn("j", _one("nj", 3)).withColumn("i", _all("ni")).withColumn("role", F.lit(1)).select(*columns)
     between = rows.unionByName(asking).groupBy("key", "i", "j").applyInArrow(_across(limit), "c long, d array<long>")
-    between = written(between.select("c", F.explode("d").alias("d")).distinct())
+    between = written(between.select("c", F.explode("d").alias("d")).distinct(), compact=True)
 
     # full sets, the smaller component against the larger
     whole = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
@@ -243,7 +243,7 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     asked = sized.select("g", "q").join(parts, F.col("q") == F.col("_comp"), "left").withColumn("doc_id", F.coalesce("_doc", "q"))
     asked = dealt_join(asked.select("g", "doc_id"), groups, ["g"], F.col("doc_id"), "inner").withColumn("j", _one("nj", 5)).withColumn("i", _all("ni")).withColumn("role", F.lit(1)).select(*columns)
     more = _verified(texts, rows.unionByName(asked), width, percent)
-    return components(written(found.unionByName(more)))
+    return components(found.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import media, quality, toxicity, warc
 from ._labelled import held_out
 from ._store import written
+from .decontaminate import benchmark_hits
 from .line_dedup import drop_common_lines
 from .near_dup import near_duplicates
 from .packing import pack_sequences
@@ -73,6 +74,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(blocks, END_OF_TEXT, names="ids").select(F.col("name").alias("doc_id"), "n_tokens", "file", "document", "start")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), width=5, percent=80)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_sequences(read(spark, sf_dir, "documents"), tokenizer=vocabulary(), end=2, limit=4096)
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_media": op5_media,
     "op6_minhash": op6_minhash,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }

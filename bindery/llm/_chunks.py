@@ -32,10 +32,11 @@ def shards_for(values: int) -> int:
     return min(1 << 17, max(16, math.ceil(values / SHARD_VALUES)))
 
 
-def chunked(docs: DataFrame, id_col: str, text: str, total: int) -> DataFrame:
-    """(doc_id, text, _chunk); only these columns travel."""
+def chunked(docs: DataFrame, id_col: str, text: str, total: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, _keep0, ..., _chunk); only these columns travel."""
     n = max(16, math.ceil(total / CHUNK_BYTES))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    kept = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *kept).withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
 
 
 def by_document(table: pa.Table) -> pa.Table:

@@ -131,10 +131,12 @@ def _probe(documents: int):
     return probe
 
 
-def _drop(least: int):
+def _drop(least: int, keep: int):
+    extra = [f"_keep{i}" for i in range(keep)]
+
     def drop(table: pa.Table, answer: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_lines": pa.array([], pa.int64()), "n_dropped": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "n_lines": pa.array([], pa.int64()), "n_dropped": pa.array([], pa.int64()), "kept_text": pa.array([], pa.string())} | {c: table[c] for c in extra})
         table = C.by_document(table)
         lines = _Lines(table, least)
         gone = np.zeros(len(lines.ends), bool)
@@ -156,17 +158,18 @@ def _drop(least: int):
         taken = np.delete(taken, np.cumsum(size)[size > 0] - 1)  # no newline after a document's last line
         size[size > 0] -= 1
         n = np.bincount(lines.doc, minlength=rows)
-        return pa.table({"doc_id": table["doc_id"], "n_lines": pa.array(n), "n_dropped": pa.array(np.bincount(lines.doc[gone], minlength=rows)), "kept_text": C.string_array(taken, size)})
+        return pa.table({"doc_id": table["doc_id"], "n_lines": pa.array(n), "n_dropped": pa.array(np.bincount(lines.doc[gone], minlength=rows)), "kept_text": C.string_array(taken, size)} | {c: table[c] for c in extra})
 
     return drop
 
 
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 3, least: int = 20) -> DataFrame:
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 3, least: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines found in at least `documents` documents, except in the largest id that holds them.
 
     A line's key is the line without white space at its ends and with A-Z in
     lower case; lines whose key has fewer than `least` code points always stay.
-    Returns RESULT, one row per input row; `kept_text` joins the lines that stay.
+    Returns RESULT and the columns `keep`, one row per input row; `kept_text`
+    joins the lines that stay.
 
     A null or empty text is one empty line.  Rows with one id are one document
     when documents are counted, and each keeps its own row; a null id is the
@@ -174,8 +177,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whatever their names.
     """
     total = C.text_bytes(docs, text_col)
-    texts = C.chunked(docs, id_col, text_col, total)
+    texts = C.chunked(docs, id_col, text_col, total, keep)
     shards = C.shards_for(total // 64)
     sent = texts.groupBy("_chunk").applyInArrow(_send(least, shards), C.BLOBS)
     common = sent.groupBy("_shard").applyInArrow(_probe(documents), C.BLOBS)
-    return texts.groupBy("_chunk").cogroup(common.groupBy("_chunk")).applyInArrow(_drop(least), RESULT)
+    return texts.groupBy("_chunk").cogroup(common.groupBy("_chunk")).applyInArrow(_drop(least, len(keep)), RESULT + "".join(f", _keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))).withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})

@@ -21,4 +21,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op1_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        d AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS h FROM p),
+        b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)), 1)), '') AS payload_digest FROM d),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS kept FROM b)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to FROM f""",
+    "op6_minhash": rf"""
+        WITH RECURSIVE docs AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM docs),
+        one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b USING (x) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (min(a.n) + min(b.n) - count(*))),
+        ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+        reach(a, b) AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+        comp AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM reach GROUP BY a)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM sets LEFT JOIN comp USING (doc_id)""",
 }

@@ -28,7 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     records = warc.mark_revisits(warc.read_arcs(warc.write_arcs(pages)), least=0)
     archives = written(warc.write_warcs(records), compression="none")
-    return warc.read_warcs(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "uri")
+    return warc.read_warcs(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ ORACLE_SQL: dict[str, str] = {
     "O1_binary_group_ranks": f"""WITH {_FILES} SELECT 'sha256:' || sha256 || ':' || size AS group_id, row_number() OVER (PARTITION BY size ORDER BY sha256)::INT AS rank_in_size FROM (SELECT size, sha256 FROM files WHERE sha256 IS NOT NULL GROUP BY ALL HAVING count(DISTINCT book_id) >= 2)""",
     "F2_F3_eligible_identities": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY} SELECT book_id, title_key, array_to_string(ks, '|') AS author_keys FROM identity",
     "G3_metadata_groups": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY} SELECT {_GROUP_ID} AS group_id, title_key, array_to_string(ks, '|') AS author_keys, string_agg(book_id::VARCHAR, ',' ORDER BY book_id) AS members, count(*)::INT AS member_count FROM identity GROUP BY title_key, ks HAVING count(*) >= 2",
-    "J7_P7_group_members": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY}, g AS (SELECT title_key, ks, unnest(list(book_id)) AS book_id FROM identity GROUP BY ALL HAVING count(*) >= 2) SELECT {_GROUP_ID} AS group_id, book_id, title, publisher FROM g JOIN books USING (book_id)",
+    "J7_P7_group_members": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY}, gg AS (SELECT title_key, ks, list(book_id) AS l FROM identity GROUP BY title_key, ks HAVING count(*) >= 2), g AS (SELECT title_key, ks, unnest(l) AS book_id FROM gg) SELECT {_GROUP_ID} AS group_id, book_id, title, publisher FROM g JOIN books USING (book_id)",
     "J9_all_candidates_in_one_group": f"WITH {_CAND} SELECT group_id, format, count(*) AS n, count(DISTINCT sha256) = 1 AND count(sha256) = count(*) AS all_equal FROM c GROUP BY ALL",
     "J10_binary_evidence": f"""WITH {_FILES}, g AS (SELECT size, sha256 FROM files WHERE sha256 IS NOT NULL GROUP BY ALL HAVING count(DISTINCT book_id) >= 2)
         SELECT 'sha256:' || sha256 || ':' || size AS group_id, bool_and(book_id % 17 <> 0) AS consistent FROM g JOIN files USING (size, sha256) GROUP BY size, sha256""",
@@ -185,7 +185,7 @@ ORACLE_SQL: dict[str, str] = {
     "W1_W2_metadata_source": f"""WITH {_MEMBERS}, {_VECTOR}, r AS (SELECT *, row_number() OVER w AS n, lead(book_id) OVER w AS runner_up, lead((core, integrity, completeness, strong_ids)) OVER w AS nx FROM vec WINDOW w AS (PARTITION BY group_id ORDER BY core DESC, integrity DESC, completeness DESC, strong_ids DESC, book_id))
         SELECT group_id, book_id, runner_up, runner_up IS NOT NULL AND nx = (core, integrity, completeness, strong_ids) AS tied, CASE WHEN runner_up IS NOT NULL AND nx = (core, integrity, completeness, strong_ids) THEN 'Safe' ELSE 'Strong' END AS strength FROM r WHERE n = 1""",
     "C11_C12_W3_format_selection": f"WITH {_SELECT} SELECT * FROM sel",
-    "C13_G5_decisive_advantage": f"""WITH {_CAND}, ep AS (SELECT * FROM c WHERE format = 'EPUB'), s AS (SELECT book_id, i, (score * (i + 3)) % 11 - 5 AS p FROM ep, (SELECT unnest(range(3)) AS i)), b AS (SELECT group_id, min(book_id) AS best FROM ep GROUP BY 1)
+    "C13_G5_decisive_advantage": f"""WITH {_CAND}, ep AS (SELECT * FROM c WHERE format = 'EPUB'), s AS (SELECT book_id, i, sum((score * (i + 3)) % 11 - 5) AS p FROM ep, (SELECT unnest(range(3)) AS i) GROUP BY ALL), b AS (SELECT group_id, min(book_id) AS best FROM ep GROUP BY 1)
         SELECT best, ep.book_id AS other, bool_or(x.p - y.p >= 4) AND NOT bool_or(x.p < 0 AND y.p >= 0) AS advantage FROM ep JOIN b USING (group_id) JOIN s x ON x.book_id = best JOIN s y ON y.book_id = ep.book_id AND y.i = x.i WHERE ep.book_id <> best GROUP BY ALL""",
     "C14_redundant_records": f"""WITH {_SELECT} SELECT c.group_id, c.book_id FROM c JOIN sel USING (group_id, format) WHERE c.book_id NOT IN (SELECT min(book_id) FROM c GROUP BY group_id) GROUP BY ALL
         HAVING bool_and(coalesce(status = 'Present' AND resolution = 'Selected' AND source_id <> book_id AND reason = 'FORMAT.EXACT_BINARY_EQUIVALENT', false))""",
@@ -210,7 +210,7 @@ ORACLE_SQL: dict[str, str] = {
     "C25_W7_plan_lifecycle": """WITH r AS (SELECT user_id AS plan_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision FROM events), s AS (SELECT plan_id, revision, ['Draft', 'Valid', 'Approved', 'Stale'][revision] AS from_state, CASE WHEN event_type = 'error' THEN 'Revoked' ELSE coalesce(['Valid', 'Approved', 'Stale'][revision], 'Revoked') END AS to_state FROM r WHERE revision <= 4),
         t AS (SELECT *, lag(to_state) OVER (PARTITION BY plan_id ORDER BY revision) AS prior FROM s) SELECT plan_id, revision, from_state, to_state FROM t WHERE NOT ((from_state, to_state) IN (('Draft', 'Valid'), ('Draft', 'Blocked'), ('Valid', 'Approved'), ('Valid', 'Stale'), ('Valid', 'Blocked'), ('Approved', 'Stale'), ('Approved', 'Revoked')) AND coalesce(from_state = prior, revision = 1))""",
     "C26_operation_graph": f"WITH {_OPS} SELECT group_id, ordinal::INT AS ordinal, operation, phase, CASE WHEN p = 3 THEN ordinal WHEN operation = 'verify:metadata' THEN 0 ELSE 1 END::BIGINT AS dependencies FROM graph",
-    "C27_graph_violations": f"WITH {_OPS} SELECT group_id FROM graph WHERE group_id % 9 = 0 GROUP BY 1 HAVING count(*) FILTER (p = 3) > 0",
+    "C27_graph_violations": f"WITH {_OPS} SELECT group_id FROM graph GROUP BY 1 HAVING (group_id % 9 = 0 AND count(*) FILTER (p = 3) > 0) OR count(*) <> count(DISTINCT operation)",
     "H3_plan_digest": f"WITH {_PLAN} SELECT group_id, sha256(string_agg({_f8('kind')} || {_f8('book_id::VARCHAR')} || {_f8('format')} || {_f8('reason')}, '' ORDER BY kind, book_id, format NULLS FIRST, reason)) AS digest FROM plan GROUP BY 1",
     "G13_latest_plan": "SELECT o_custkey AS plan_id, max(o_orderkey) AS revision, max_by(o_orderstatus, o_orderkey) AS state FROM orders GROUP BY 1",
     "G12_backup_size": "SELECT l_orderkey AS group_id, (3 * sum(l_partkey) + 67108864)::BIGINT AS needed FROM lineitem GROUP BY 1",

@@ -101,14 +101,15 @@ def leaks(docs, items, width=5, percent=80):
             parts = [tuple(d[i : i + k]) for i in range(len(d) - k + 1)]
             if not own.keys() & set(parts):
                 continue
-            last = max(0, len(d) - len(w))
+            last, best = max(0, len(d) - len(w)), 0
             for start in range(last + 1):
-                if start < last and parts[start] not in own:
-                    continue  # moving such a window to the right never makes it less similar
                 window = Counter(parts[start : start + len(w) - k + 1])
                 shared, either = sum((window & own).values()), sum((window | own).values())
                 if 100 * shared >= percent * either:
-                    out[doc, item] = max(out.get((doc, item), (0, 0)), (shared / either, -start))
+                    best = max(best, shared / either)  # over all windows; the start is told of some only
+                    if start == last or parts[start] in own:
+                        out[doc, item] = max(out.get((doc, item), (0, 0)), (shared / either, -start))
+            assert out.get((doc, item), (0, 0))[0] == best
     return out
 
 

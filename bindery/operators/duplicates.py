@@ -41,7 +41,7 @@ def metadata_groups(identity: DataFrame) -> DataFrame:
 
 def all_in_one_group(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: whether every candidate has one and the same fingerprint (it then lies in a single binary group)."""
-    return candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), ((F.count_distinct("sha256") == 1) & F.bool_and(F.col("sha256").isNotNull())).alias("all_equal"))
+    return candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.min("sha256") == F.max("sha256"), F.lit(False)) & F.bool_and(F.col("sha256").isNotNull())).alias("all_equal"))
 
 
 def evidence_consistent(groups: DataFrame, files: DataFrame) -> DataFrame:

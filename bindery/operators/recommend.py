@@ -36,19 +36,20 @@ def select_formats(candidates: DataFrame, delta: int = 10) -> DataFrame:
     Nothing present: Unavailable.  One present: FORMAT.ONLY_AVAILABLE_SOURCE.  All
     present files equal: FORMAT.EXACT_BINARY_EQUIVALENT, the smallest record's file.
     EPUB whose best score leads every other by `delta`: EPUB.MATERIAL_QUALITY_ADVANTAGE.
-    Anything else stays an unresolved conflict.  One aggregation: the best and the
-    second score come from an ordered pair, not from a self-join.
+    Anything else stays an unresolved conflict.  One aggregation and one shuffle:
+    equality is least = greatest fingerprint (a distinct count would expand the
+    rows), and the lead comes from the two best scores, not from a self-join.
     """
     present = F.col("status") == "Present"
     order = F.struct((-F.col("score")).alias("s"), F.col("book_id"))
     agg = candidates.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("declared"), F.sum(present.cast("int")).alias("present"),
-        ((F.count_distinct(F.when(present, F.col("sha256"))) == 1) & F.bool_and(~present | F.col("sha256").isNotNull())).alias("all_equal"),
+        (F.min(F.when(present, F.col("sha256"))).eqNullSafe(F.max(F.when(present, F.col("sha256")))) & F.bool_and(~present | F.col("sha256").isNotNull())).alias("all_equal"),
         F.min(F.when(present, F.struct("book_id", F.translate("path", "\\", "/").alias("path")))).alias("least"),
         F.min(F.when(present, F.struct(order.alias("o"), F.translate("path", "\\", "/").alias("path")))).alias("best"),
-        F.slice(F.array_sort(F.collect_list(F.when(present, F.col("score")))), -2, 2).alias("top"),
+        F.slice(F.array_sort(F.collect_list(F.when(present & (F.col("format") == "EPUB"), F.col("score")))), -2, 2).alias("top"),
     )
-    lead = F.col("top")[1] - F.col("top")[0]
+    lead = F.get("top", F.lit(1)) - F.get("top", F.lit(0))
     reason = F.when(F.col("present") == 0, "FORMAT.NO_AVAILABLE_SOURCE").when(F.col("present") == 1, "FORMAT.ONLY_AVAILABLE_SOURCE").when(F.col("all_equal"), "FORMAT.EXACT_BINARY_EQUIVALENT").when(F.col("format") != "EPUB", "FORMAT.UNASSESSED_NONIDENTICAL_CONFLICT").when(lead >= delta, "EPUB.MATERIAL_QUALITY_ADVANTAGE").otherwise("EPUB.SCORES_TOO_CLOSE")
     out = agg.withColumn("reason", reason)
     status = F.when(F.col("present") == 0, "Unavailable").when(F.col("reason").isin("FORMAT.UNASSESSED_NONIDENTICAL_CONFLICT", "EPUB.SCORES_TOO_CLOSE"), "UnresolvedConflict").otherwise("Selected")

@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.digests import binary_group_id, metadata_group_id
 from ..functions.text import canonical
+from .skew import dealt_join
 
 
 def binary_groups(files: DataFrame) -> DataFrame:
-    """Groups of two or more files with one size and SHA-256; a file without a fingerprint never groups.
+    """Groups of two or more distinct files with one size and SHA-256; a file without a fingerprint never groups.
 
-    One row per group: its id, the distinct members (book, format, path) in order,
-    the number of records and whether it spans several.  Partial aggregation keeps
-    the shuffle at one row per fingerprint and task where members repeat.
+    One row per group: its id, how many members and records it has, and whether it
+    spans several records.  Counts alone are kept, in two partial aggregations, so a
+    fingerprint that a third of all files share is never gathered.
     """
-    member = F.struct("book_id", "format", "path")
-    groups = files.where(F.col("sha256").isNotNull() & F.col("size").isNotNull()).groupBy("size", "sha256").agg(F.array_sort(F.collect_set(member)).alias("members"))
-    groups = groups.where(F.size("members") >= 2).withColumn("book_count", F.size(F.array_distinct("members.book_id")))
-    return groups.select(binary_group_id(F.col("size"), F.col("sha256")).alias("group_id"), "size", "sha256", "members", F.size("members").alias("member_count"), "book_count", (F.col("book_count") > 1).alias("spans_records"))
+    known = files.where(F.col("sha256").isNotNull() & F.col("size").isNotNull())
+    each = known.select("size", "sha256", "book_id", "format", "path").distinct()
+    books = each.groupBy("size", "sha256", "book_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = books.groupBy("size", "sha256").agg(F.sum("n").alias("member_count"), F.count(F.lit(1)).alias("book_count")).where("member_count >= 2")
+    return groups.select(binary_group_id(F.col("size"), F.col("sha256")).alias("group_id"), "size", "sha256", "member_count", "book_count", (F.col("book_count") > 1).alias("spans_records"))
+
+
+def binary_members(files: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, size, sha256, book_id, format, path): the distinct members of binary groups."""
+    each = files.select("size", "sha256", "book_id", "format", "path").distinct()
+    return dealt_join(each, groups.select("size", "sha256", "group_id"), ["size", "sha256"], F.struct("book_id", "path")).select("group_id", "size", "sha256", "book_id", "format", "path")
 
 
 def identities(books: DataFrame, authors: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
@@ -34,9 +42,15 @@ def identities(books: DataFrame, authors: DataFrame, incomplete: DataFrame | Non
 
 
 def metadata_groups(identity: DataFrame) -> DataFrame:
-    """Groups of two or more records with one identity, with ascending members."""
-    groups = identity.groupBy("title_key", "author_keys").agg(F.array_sort(F.collect_set("book_id")).alias("members")).where(F.size("members") >= 2)
-    return groups.select(metadata_group_id(F.col("title_key"), F.col("author_keys")).alias("group_id"), "title_key", "author_keys", "members", F.size("members").alias("member_count"))
+    """(group_id, title_key, author_keys, member_count): identities that two or more records share."""
+    groups = identity.select("title_key", "author_keys", "book_id").distinct().groupBy("title_key", "author_keys").agg(F.count(F.lit(1)).alias("member_count")).where("member_count >= 2")
+    return groups.select(metadata_group_id(F.col("title_key"), F.col("author_keys")).alias("group_id"), "title_key", "author_keys", "member_count")
+
+
+def metadata_members(identity: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, book_id): the records of metadata groups."""
+    each = identity.select("title_key", "author_keys", "book_id").distinct()
+    return dealt_join(each, groups.select("title_key", "author_keys", "group_id"), ["title_key", "author_keys"], F.col("book_id")).select("group_id", "book_id")
 
 
 def all_in_one_group(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -44,9 +58,9 @@ def all_in_one_group(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.coalesce(F.min("sha256") == F.max("sha256"), F.lit(False)) & F.bool_and(F.col("sha256").isNotNull())).alias("all_equal"))
 
 
-def evidence_consistent(groups: DataFrame, files: DataFrame) -> DataFrame:
-    """Per group (group_id, size, sha256, members): every member matches one present file of equal fingerprint."""
-    member = groups.select("group_id", F.col("size").alias("want_size"), F.col("sha256").alias("want_sha"), F.explode("members").alias("m")).select("group_id", "want_size", "want_sha", "m.*")
-    found = member.join(files.groupBy("book_id", "format", "path").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("sha256").alias("sha256"), F.min("status").alias("status")), ["book_id", "format", "path"], "left")
+def evidence_consistent(members: DataFrame, files: DataFrame) -> DataFrame:
+    """Per group of members (group_id, size, sha256, book_id, format, path): each matches one present file of equal fingerprint."""
+    wanted = members.withColumnsRenamed({"size": "want_size", "sha256": "want_sha"})
+    now = files.groupBy("book_id", "format", "path").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("sha256").alias("sha256"), F.min("status").alias("status"))
     fits = (F.col("n") == 1) & (F.col("status") == "Present") & (F.col("size") == F.col("want_size")) & (F.col("sha256") == F.col("want_sha"))
-    return found.groupBy("group_id").agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("consistent"))
+    return wanted.join(now, ["book_id", "format", "path"], "left").groupBy("group_id").agg(F.bool_and(F.coalesce(fits, F.lit(False))).alias("consistent"))

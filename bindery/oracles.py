@@ -120,11 +120,12 @@ _SCORED = _READ + ", " + _REFS + """, h AS (SELECT host, count(*) AS spine, sum(
     + CASE WHEN fp % 4 = 0 THEN -5 ELSE 4 END + CASE WHEN broken = 0 THEN 4 ELSE greatest(-10, -2 * broken) END + CASE WHEN empty = 0 THEN 2 ELSE greatest(-10, -2 * empty) END + 2 AS total FROM hb)"""
 
 ORACLE_SQL: dict[str, str] = {
-    "G1_exact_binary_groups": f"""WITH {_FILES} SELECT 'sha256:' || sha256 || ':' || size AS group_id, size, sha256, string_agg(book_id || ':' || format || ':' || path, '|' ORDER BY book_id, path) AS members, count(*)::INT AS member_count,
-        count(DISTINCT book_id)::INT AS book_count, count(DISTINCT book_id) > 1 AS spans_records FROM (SELECT DISTINCT * FROM files WHERE sha256 IS NOT NULL) GROUP BY size, sha256 HAVING count(*) >= 2""",
+    "G1_exact_binary_groups": f"""WITH {_FILES} SELECT 'sha256:' || sha256 || ':' || size AS group_id, size, sha256, count(*) AS member_count, count(DISTINCT book_id) AS book_count, count(DISTINCT book_id) > 1 AS spans_records
+        FROM (SELECT DISTINCT * FROM files WHERE sha256 IS NOT NULL) GROUP BY size, sha256 HAVING count(*) >= 2""",
+    "G2_O2_binary_group_members": f"""WITH {_FILES}, n AS (SELECT *, count(*) OVER (PARTITION BY size, sha256) AS n FROM (SELECT DISTINCT * FROM files WHERE sha256 IS NOT NULL)) SELECT 'sha256:' || sha256 || ':' || size AS group_id, book_id, format, path FROM n WHERE n >= 2""",
     "O1_binary_group_ranks": f"""WITH {_FILES} SELECT 'sha256:' || sha256 || ':' || size AS group_id, row_number() OVER (PARTITION BY size ORDER BY sha256)::INT AS rank_in_size FROM (SELECT size, sha256 FROM files WHERE sha256 IS NOT NULL GROUP BY ALL HAVING count(DISTINCT book_id) >= 2)""",
     "F2_F3_eligible_identities": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY} SELECT book_id, title_key, array_to_string(ks, '|') AS author_keys FROM identity",
-    "G3_metadata_groups": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY} SELECT {_GROUP_ID} AS group_id, title_key, array_to_string(ks, '|') AS author_keys, string_agg(book_id::VARCHAR, ',' ORDER BY book_id) AS members, count(*)::INT AS member_count FROM identity GROUP BY title_key, ks HAVING count(*) >= 2",
+    "G3_metadata_groups": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY} SELECT {_GROUP_ID} AS group_id, title_key, array_to_string(ks, '|') AS author_keys, count(*) AS member_count FROM identity GROUP BY title_key, ks HAVING count(*) >= 2",
     "J7_P7_group_members": f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY}, gg AS (SELECT title_key, ks, list(book_id) AS l FROM identity GROUP BY title_key, ks HAVING count(*) >= 2), g AS (SELECT title_key, ks, unnest(l) AS book_id FROM gg) SELECT {_GROUP_ID} AS group_id, book_id, title, publisher FROM g JOIN books USING (book_id)",
     "J9_all_candidates_in_one_group": f"WITH {_CAND} SELECT group_id, format, count(*) AS n, count(DISTINCT sha256) = 1 AND count(sha256) = count(*) AS all_equal FROM c GROUP BY ALL",
     "J10_binary_evidence": f"""WITH {_FILES}, g AS (SELECT size, sha256 FROM files WHERE sha256 IS NOT NULL GROUP BY ALL HAVING count(DISTINCT book_id) >= 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import digests as D, identifiers as I, text as X
 from .operators import catalog, conflicts, duplicates, recommend, scoring
@@ -21,16 +21,18 @@ def query(f: Query) -> Query:
     return f
 
 
-def _joined(members: str) -> Column:
-    return F.array_join(F.transform(members, lambda m: F.concat_ws(":", m["book_id"].cast("string"), m["format"], m["path"])), "|")
-
-
 # duplicates
 
 
 @query
 def G1_exact_binary_groups(spark, d):
-    return duplicates.binary_groups(B.files(spark, d)).withColumn("members", _joined("members"))
+    return duplicates.binary_groups(B.files(spark, d))
+
+
+@query
+def G2_O2_binary_group_members(spark, d):
+    files = B.files(spark, d)
+    return duplicates.binary_members(files, duplicates.binary_groups(files)).drop("size", "sha256")
 
 
 @query
@@ -51,8 +53,7 @@ def F2_F3_eligible_identities(spark, d):
 
 @query
 def G3_metadata_groups(spark, d):
-    groups = duplicates.metadata_groups(_identities(spark, d))
-    return groups.select("group_id", "title_key", F.array_join("author_keys", "|").alias("author_keys"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "member_count")
+    return duplicates.metadata_groups(_identities(spark, d)).withColumn("author_keys", F.array_join("author_keys", "|"))
 
 
 @query
@@ -62,9 +63,9 @@ def J9_all_candidates_in_one_group(spark, d):
 
 @query
 def J10_binary_evidence(spark, d):
-    groups = duplicates.binary_groups(B.files(spark, d).withColumn("format", F.lit("TXT")))
-    now = B.files(spark, d).withColumn("sha256", F.when(F.col("book_id") % 17 != 0, F.col("sha256")))
-    return duplicates.evidence_consistent(groups, now)
+    files = B.files(spark, d)
+    members = duplicates.binary_members(files, duplicates.binary_groups(files))
+    return duplicates.evidence_consistent(members, files.withColumn("sha256", F.when(F.col("book_id") % 17 != 0, F.col("sha256"))))
 
 
 # catalog reading
@@ -161,8 +162,8 @@ def J6_W5_hash_sequence(spark, d):
 
 @query
 def J7_P7_group_members(spark, d):
-    groups = duplicates.metadata_groups(_identities(spark, d)).select("group_id", F.explode("members").alias("book_id"))
-    return groups.join(B.books(spark, d).select("book_id", "title", "publisher"), "book_id")
+    identity = _identities(spark, d)
+    return duplicates.metadata_members(identity, duplicates.metadata_groups(identity)).join(B.books(spark, d).select("book_id", "title", "publisher"), "book_id")
 
 
 @query

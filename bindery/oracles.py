@@ -228,4 +228,17 @@ ORACLE_SQL: dict[str, str] = {
     "E10_encryption": "SELECT user_id, CASE WHEN bool_and(event_type IN ('view', 'signup', 'error', 'click')) THEN 'FontObfuscation' ELSE 'Encrypted' END AS state FROM events GROUP BY 1",
     "G4_W4_scores": f"WITH {_SCORED} SELECT host, CASE WHEN bad THEN 'Disqualified' ELSE 'Completed' END AS status, CASE WHEN NOT bad THEN greatest(0, least(100, total)) END::INT AS score FROM sc",
     "G16_repeated_references": f"""WITH {_REFS}, n AS (SELECT host, kind, target, row_number() OVER (PARTITION BY host, kind, target ORDER BY page_id, position) AS n FROM refs) SELECT host, kind || ':' || target || '#' || n AS mark FROM n WHERE n > 1""",
+    "J13_code_linkage": f"WITH {_SELECT} SELECT DISTINCT group_id, reason AS code FROM sel WHERE group_id % 3 = 0 AND reason = 'EPUB.SCORES_TOO_CLOSE'",
+    "J14_U6_candidate_graph": f"""WITH {_CAND}, k AS (SELECT group_id, book_id, format, path, bool_or(score <> 7) AS d, bool_or(score <> 9) AS e FROM c GROUP BY ALL) SELECT group_id, count(*) FILTER (d AND NOT e) AS only_declared, count(*) FILTER (e AND NOT d) AS only_candidates FROM k GROUP BY 1 HAVING count(*) FILTER (d <> e) > 0""",
+    "J16_presentation_lookup": f"WITH {_BOOKS} SELECT l_partkey + 1 AS book_id, count(*) AS uses, any_value(trim(title)) AS title FROM lineitem LEFT JOIN (SELECT * FROM books WHERE book_id % 6 <> 0) ON book_id = l_partkey + 1 GROUP BY 1",
+    "C16_unsupported_shells": "SELECT DISTINCT o_custkey AS group_id, 'INPUT.INCOMPLETE' AS code FROM orders WHERE o_orderkey % 31 = 0",
+    "C30_preflight": """WITH k AS (SELECT c_custkey AS k FROM customer) SELECT k AS plan_id, 'EXECUTION.APPROVAL_INVALID' AS code FROM k WHERE k % 2 <> 0 UNION ALL SELECT k, 'EXECUTION.PLAN_TAMPERED' FROM k WHERE k % 7 = 0 UNION ALL SELECT k, 'EXECUTION.PLAN_STALE' FROM k WHERE k % 3 = 0
+        UNION ALL SELECT k, 'EXECUTION.PLAN_UNSAFE' FROM k WHERE k % 4 = 3 UNION ALL SELECT k, 'EXECUTION.SOURCE_UNAVAILABLE' FROM k WHERE k % 11 = 0""",
+    "P12_execution_effects": f"""WITH {_PLAN}, tf AS (SELECT DISTINCT c.group_id, format FROM c JOIN tg ON c.group_id = tg.group_id AND book_id = target_id)
+        SELECT p.group_id, CASE WHEN tf.format IS NULL THEN 'Add format' ELSE 'Replace format' END AS effect, book_id, p.format FROM plan p LEFT JOIN tf ON tf.group_id = p.group_id AND tf.format = p.format WHERE kind = 'Retention' AND reason = 'RetainFromOtherRecord'
+        UNION ALL SELECT group_id, CASE WHEN kind = 'FormatRemoval' THEN 'Remove format' ELSE 'Remove record' END, book_id, format FROM plan WHERE kind IN ('FormatRemoval', 'RecordRemoval')""",
+    "P1_P13_expected_records": f"WITH {_CAND}, f AS (SELECT group_id, count(*) AS n, max(format) AS m FROM c GROUP BY 1) SELECT o_orderkey AS book_id, o_orderpriority AS title, coalesce(o_orderstatus, '') AS publisher, coalesce(n, 0) AS formats, m AS last_format FROM orders LEFT JOIN f ON group_id = o_orderkey",
+    "P3_findings_of_issues": f"WITH {_LINKS}, {_IDS}, x AS (SELECT 'AUTHOR_REFERENCE_MISSING' AS code FROM links LEFT JOIN authors USING (author_id) WHERE name IS NULL UNION ALL SELECT 'CATALOG_VALUE_INVALID' FROM ids WHERE trim(value) = '') SELECT code, 'Warning' AS severity, count(*) AS n FROM x GROUP BY 1",
+    "U10_U9_lineage": """WITH e AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS a FROM events GROUP BY 1) SELECT user_id, user_id % 3 <> 0 OR (len(a) >= 3 AND a[3] = 'other') AS continues, user_id % 3 <> 0 OR (len(a) >= 3 AND a[3] = 'other') AS same_start FROM e""",
+    "H4_graph_digest": f"WITH {_OPS}, o AS (SELECT *, (CASE WHEN p = 3 THEN ordinal WHEN operation = 'verify:metadata' THEN 0 ELSE 1 END)::VARCHAR AS n FROM graph) SELECT group_id, sha256(string_agg({_f16('operation')} || {_f16('phase')} || {_f16('n')}, '' ORDER BY ordinal, operation)) AS digest FROM o GROUP BY 1",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import digests as D, identifiers as I, text as X
 from .operators import catalog, conflicts, duplicates, recommend, scoring
-from .plans import cleanup
+from .plans import cleanup, review
 from .sources import bridges as B, pages
 from .streaming import journal
 
@@ -578,3 +578,72 @@ def O5_G15_finding_rows(spark, d):
 def G16_repeated_references(spark, d):
     refs = pages.references(B.table(spark, d, "pages")).withColumn("place", F.concat(F.lpad(F.col("page_id").cast("string"), 12, "0"), F.lit("/"), F.lpad(F.col("position").cast("string"), 6, "0")))
     return scoring.occurrences(refs, ["host"], "kind", "target", "place")
+
+
+# linkage, preflight, effects
+
+
+@query
+def J13_code_linkage(spark, d):
+    said = recommend.select_formats(B.candidates(spark, d)).select("group_id", F.col("reason").alias("code"))
+    return review.unlinked_codes(said, said.where("group_id % 3 <> 0 OR code <> 'EPUB.SCORES_TOO_CLOSE'"))
+
+
+@query
+def J14_U6_candidate_graph(spark, d):
+    rows = B.candidates(spark, d).withColumn("path", F.translate("path", "\\", "/"))
+    return review.graph_mismatch(rows.where("score <> 7"), rows.where("score <> 9"), ["book_id", "format", "path"])
+
+
+@query
+def J16_presentation_lookup(spark, d):
+    books = B.books(spark, d).where("book_id % 6 <> 0").select("book_id", F.trim("title").alias("title"))
+    return B.table(spark, d, "lineitem").groupBy((F.col("l_partkey") + 1).alias("book_id")).agg(F.count(F.lit(1)).alias("uses")).join(books, "book_id", "left")
+
+
+@query
+def C16_unsupported_shells(spark, d):
+    rows = B.members(spark, d)
+    counts = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count"))
+    return review.shells(counts, rows.where("book_id % 31 <> 0"))
+
+
+@query
+def C30_preflight(spark, d):
+    k = F.col("c_custkey")
+    rows = B.table(spark, d, "customer").select(k.alias("plan_id"), F.when(k % 2 == 0, "Approved").otherwise("Valid").alias("state"), (k % 5).cast("string").alias("approved_digest"), F.when(k % 7 != 0, (k % 5).cast("string")).alias("digest"), (k % 3 == 0).alias("stale"), (k % 4 - 2).alias("violations"), F.when(k % 11 == 0, 1).otherwise(0).alias("missing_sources"))
+    return review.preflight(rows)
+
+
+@query
+def P12_execution_effects(spark, d):
+    files, plan = _plan(spark, d)
+    target = files.join(_sources(spark, d), ["group_id", "book_id"], "left_semi")
+    return review.effects(plan, target)
+
+
+@query
+def P1_P13_expected_records(spark, d):
+    formats = B.candidates(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("formats"), F.max("format").alias("last_format"))
+    return B.snapshot(spark, d, False).select("book_id", "title", F.coalesce("publisher", F.lit("")).alias("publisher")).join(formats.withColumnRenamed("group_id", "book_id"), "book_id", "left").fillna(0, ["formats"])
+
+
+@query
+def P3_findings_of_issues(spark, d):
+    missing = catalog.resolve_authors(B.author_links(spark, d), B.authors(spark, d)).where("code = 'AUTHOR_REFERENCE_MISSING'")
+    _, blank = catalog.split_identifiers(B.identifiers(spark, d))
+    return review.findings_of((missing, "AUTHOR_REFERENCE_MISSING"), (blank, "CATALOG_VALUE_INVALID")).groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def U10_U9_lineage(spark, d):
+    states = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    rows = B.table(spark, d, "events").groupBy("user_id").agg(F.transform(states, lambda r: r["event_type"]).alias("now"))
+    then = F.when(F.col("user_id") % 3 == 0, F.concat(F.slice("now", 1, 2), F.array(F.lit("other")))).otherwise(F.slice("now", 1, 3))
+    return rows.select("user_id", review.is_prefix(then, F.col("now")).alias("continues"), (F.slice("now", 1, 3) == then).alias("same_start"))
+
+
+@query
+def H4_graph_digest(spark, d):
+    _, plan = _plan(spark, d)
+    return review.graph_digests(cleanup.operation_graph(plan, _sources(spark, d)))

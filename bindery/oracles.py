@@ -208,7 +208,8 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT group_id, 'Warning', 'PLAN.NON_IDENTICAL_REPLACEMENT', count(*) FROM plan WHERE reason = 'ReviewedNonIdenticalReplacement' GROUP BY 1 UNION ALL SELECT group_id, 'Information', 'PLAN.COVER_PRESENT', count(*) FROM c WHERE book_id % 5 = 0 AND group_id IN (FROM pg) GROUP BY 1""",
     "C24_J15_staleness": f"WITH {_DIFF} SELECT group_id, count(*) AS changes, 'PLAN.STALE' AS code FROM diff GROUP BY 1",
     "J15_C29_state_diff": f"WITH {_DIFF} SELECT * FROM diff",
-    "C25_W7_plan_lifecycle": """WITH r AS (SELECT user_id AS plan_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision FROM events), s AS (SELECT plan_id, revision, ['Draft', 'Valid', 'Approved', 'Stale'][revision] AS from_state, CASE WHEN event_type = 'error' THEN 'Revoked' ELSE coalesce(['Valid', 'Approved', 'Stale'][revision], 'Revoked') END AS to_state FROM r WHERE revision <= 4),
+    "C25_W7_plan_lifecycle": """WITH r AS (SELECT user_id AS plan_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision FROM events), n AS (SELECT ['Draft', 'Valid', 'Approved', 'Stale'] AS a),
+        s AS (SELECT plan_id, revision, a[(revision - 1) % 4 + 1] AS from_state, CASE WHEN event_type = 'error' THEN 'Revoked' ELSE a[revision % 4 + 1] END AS to_state FROM r, n),
         t AS (SELECT *, lag(to_state) OVER (PARTITION BY plan_id ORDER BY revision) AS prior FROM s) SELECT plan_id, revision, from_state, to_state FROM t WHERE NOT ((from_state, to_state) IN (('Draft', 'Valid'), ('Draft', 'Blocked'), ('Valid', 'Approved'), ('Valid', 'Stale'), ('Valid', 'Blocked'), ('Approved', 'Stale'), ('Approved', 'Revoked')) AND coalesce(from_state = prior, revision = 1))""",
     "C26_operation_graph": f"WITH {_OPS} SELECT group_id, ordinal::INT AS ordinal, operation, phase, CASE WHEN p = 3 THEN ordinal WHEN operation = 'verify:metadata' THEN 0 ELSE 1 END::BIGINT AS dependencies FROM graph",
     "C27_graph_violations": f"WITH {_OPS} SELECT group_id FROM graph GROUP BY 1 HAVING (group_id % 9 = 0 AND count(*) FILTER (p = 3) > 0) OR count(*) <> count(DISTINCT operation)",
@@ -219,8 +220,8 @@ ORACLE_SQL: dict[str, str] = {
     "W6_W8_journal_predecessors": f"WITH {_JOURNAL} SELECT * FROM seen",
     "C32_journal_reconciliation": f"""WITH {_JOURNAL} SELECT execution_id, NOT v OR (m AND NOT (v AND t AND execution_id % 2 = 0)) AS recovery_required FROM (SELECT execution_id, bool_and(NOT after_terminal OR execution_id % 3 = 0) AS v, bool_or(kind = 'MutationStarted') AS m, bool_or(kind = 'TerminalSummary') AS t FROM seen GROUP BY 1)""",
     "C28_execution_lifecycle": """WITH r AS (SELECT user_id AS execution_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS revision FROM events), n AS (SELECT ['Created', 'AcquiringLease', 'PreflightValidating', 'ReadyForBackup', 'BackingUp', 'BackupVerified'] AS a),
-        s AS (SELECT execution_id, revision, a[revision] AS from_state, CASE WHEN event_type = 'click' THEN 'Completed' ELSE a[revision + 1] END AS to_state, event_type FROM r, n WHERE revision <= 5), t AS (SELECT *, lag(to_state) OVER (PARTITION BY execution_id ORDER BY revision) AS prior FROM s)
-        SELECT execution_id, revision, from_state, to_state FROM t WHERE event_type = 'click' OR NOT coalesce(from_state = prior, revision = 1)""",
+        s AS (SELECT execution_id, revision, a[(revision - 1) % 6 + 1] AS from_state, CASE WHEN event_type = 'click' THEN 'Completed' ELSE a[revision % 6 + 1] END AS to_state, event_type FROM r, n), t AS (SELECT *, lag(to_state) OVER (PARTITION BY execution_id ORDER BY revision) AS prior FROM s)
+        SELECT execution_id, revision, from_state, to_state FROM t WHERE event_type = 'click' OR from_state = 'BackupVerified' OR NOT coalesce(from_state = prior, revision = 1)""",
     "C31_C34_backup_gaps": f"WITH {_PLAN} SELECT group_id, book_id, reason AS kind, format FROM plan WHERE kind = 'Backup' AND book_id % 10 = 3",
     "W9_circular_neighbours": """SELECT n_regionkey, n_nationkey, coalesce(lead(n_nationkey) OVER w, min(n_nationkey) OVER (PARTITION BY n_regionkey)) AS "next", coalesce(lag(n_nationkey) OVER w, max(n_nationkey) OVER (PARTITION BY n_regionkey)) AS "previous" FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)""",
     "E6_G14_readable_characters": f"WITH {_READ} SELECT page_id, host, readable, readable < 100 AS is_empty FROM read",

@@ -233,7 +233,7 @@ def X15_H2_framed_rows(spark, d):
 
 @query
 def H5_unaffected_state(spark, d):
-    rows = B.snapshot(spark, d, False).where("group_id % 10 <> 0")
+    rows = B.snapshot(spark, d, False).where("group_id % 10 <> 0")  # the others are what a plan touches
     line = D.framed([F.col("book_id").cast("string"), F.col("title"), F.col("publisher")], D.field8)
     return rows.groupBy("group_id").agg(D.fold(["book_id"], line).alias("digest"))
 
@@ -461,8 +461,9 @@ def J15_C29_state_diff(spark, d):
 def C25_W7_plan_lifecycle(spark, d):
     states = F.array(*[F.lit(s) for s in ("Draft", "Valid", "Approved", "Stale")])
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = B.table(spark, d, "events").withColumn("revision", F.row_number().over(w)).where("revision <= 4")
-    rows = rows.select(F.col("user_id").alias("plan_id"), F.col("revision").cast("long").alias("revision"), F.element_at(states, F.col("revision")).alias("from_state"), F.when(F.col("event_type") == "error", "Revoked").otherwise(F.coalesce(F.get(states, F.col("revision")), F.lit("Revoked"))).alias("to_state"))
+    rows = B.table(spark, d, "events").withColumn("revision", F.row_number().over(w))
+    at = (F.col("revision") - 1) % 4
+    rows = rows.select(F.col("user_id").alias("plan_id"), F.col("revision").cast("long").alias("revision"), F.get(states, at).alias("from_state"), F.when(F.col("event_type") == "error", "Revoked").otherwise(F.get(states, (at + 1) % 4)).alias("to_state"))
     return cleanup.illegal_transitions(rows, cleanup.PLAN_EDGES)
 
 
@@ -517,8 +518,9 @@ def C32_journal_reconciliation(spark, d):
 def C28_execution_lifecycle(spark, d):
     names = F.array(*[F.lit(s) for s in ("Created", "AcquiringLease", "PreflightValidating", "ReadyForBackup", "BackingUp", "BackupVerified")])
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = B.table(spark, d, "events").withColumn("revision", F.row_number().over(w)).where("revision <= 5")
-    rows = rows.select(F.col("user_id").alias("execution_id"), F.col("revision").cast("long").alias("revision"), F.element_at(names, F.col("revision")).alias("from_state"), F.when(F.col("event_type") == "click", "Completed").otherwise(F.get(names, F.col("revision"))).alias("to_state"))
+    rows = B.table(spark, d, "events").withColumn("revision", F.row_number().over(w))
+    at = (F.col("revision") - 1) % 6
+    rows = rows.select(F.col("user_id").alias("execution_id"), F.col("revision").cast("long").alias("revision"), F.get(names, at).alias("from_state"), F.when(F.col("event_type") == "click", "Completed").otherwise(F.get(names, (at + 1) % 6)).alias("to_state"))
     return cleanup.illegal_transitions(rows, journal.EXECUTION_EDGES, "execution_id")
 
 

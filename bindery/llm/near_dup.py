@@ -6,9 +6,10 @@
    with one leader (another one per band): first the joint likelihood estimate
    from both sketches, then, if that comes near the limit, the full sets.
 3. Links give components.  Buckets that hold several components are compared
-   again, only across components: sketches in blocks of a bucket, then full
-   sets, component against component.  So every two texts that share a band are
-   either in one component or compared, at any bucket size.
+   again, only across components: first sketches, in blocks of a bucket, which
+   gives clusters of components that may be similar; then full sets, in blocks of
+   a cluster.  So every two texts that share a band are either in one component
+   or compared, at any bucket size, and blocks tell joining links, never pairs.
 
 Two sets at the limit of 0.8 share no band with odds of 1.4e-7, and the estimate
 misses them by its margin of five deviations with odds below 1e-6.  Full sets
@@ -32,6 +33,7 @@ from ._text import Words, column_bytes, mix, pair, runs, windows
 
 BLOCK = 128  # documents a side of a comparison of full sets
 SKETCH_BLOCK = 1024
+CLUSTER_BLOCK = 256
 MARGIN = 5.0
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
 
@@ -109,42 +111,85 @@ def _likely(limit: float):
     return run
 
 
+class _Union:
+    """Joins numbers; keeps the links that joined something new."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, a: int) -> int:
+        while (up := self.parent.setdefault(a, a)) != a:
+            self.parent[a] = a = self.parent[up]
+        return a
+
+    def link(self, a: int, b: int, as_a: int | None = None, as_b: int | None = None) -> None:
+        """Join a and b; the link is told as (as_a, as_b) where those are given."""
+        x, y = self.root(a), self.root(b)
+        if x != y:
+            self.parent[x] = y
+            self.links.append((a if as_a is None else as_a, b if as_b is None else as_b))
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array([x for x, _ in self.links], pa.int64()), "b": pa.array([y for _, y in self.links], pa.int64())})
+
+
+def _sets(side: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    column = side["text"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    got = [shingle_sets(column.slice(lo, hi - lo), width) for lo, hi in batches(column)]
+    return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+
+
+def _similar(held: np.ndarray, size: np.ndarray, asked: np.ndarray, asked_size: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, queries x rows whether linked) in tiles of bounded memory; sets as shingle_sets gives them."""
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(held, kind="stable")
+    held, owner = held[order], owner[order]
+    first = np.concatenate([[0], np.cumsum(asked_size)])
+    lo, hi = np.searchsorted(held, asked, "left"), np.searchsorted(held, asked, "right")
+    weight = np.concatenate([[0], np.cumsum(hi - lo)])[first]
+    q = 0
+    while q < len(asked_size):
+        to = max(q + 1, int(np.searchsorted(weight, weight[q] + (1 << 21), "right")) - 1)
+        part = slice(first[q], first[to])
+        count = (hi - lo)[part]
+        at = np.repeat(lo[part], count) + runs(count)
+        who = np.repeat(np.repeat(np.arange(to - q), asked_size[q:to]), count)
+        shared = np.bincount(who * len(size) + owner[at], minlength=(to - q) * len(size)).reshape(to - q, -1)
+        union = asked_size[q:to, None] + size[None, :] - shared
+        yield q, (100 * shared >= percent * union) & (shared > 0)
+        q = to
+
+
 def _verify(width: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Of each query the first row, if any, that it is similar to; the rows of a group are known to be one component."""
         rows, queries = (table.filter(pc.equal(table["role"], k)) for k in (0, 1))
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not rows.num_rows or not queries.num_rows:
-            return none
-
-        def sets(side: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            column = side["text"].combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            got = [shingle_sets(column.slice(lo, hi - lo), width) for lo, hi in batches(column)]
-            return np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-
-        held, size = sets(rows)
-        owner = np.repeat(np.arange(len(size)), size)
-        order = np.argsort(held, kind="stable")
-        held, owner = held[order], owner[order]
-        asked, asked_size = sets(queries)
-        first = np.concatenate([[0], np.cumsum(asked_size)])
-        lo, hi = np.searchsorted(held, asked, "left"), np.searchsorted(held, asked, "right")
-        weight = np.concatenate([[0], np.cumsum(hi - lo)])[first]
-        ids, query_ids, out, q = rows["doc_id"].to_numpy(), queries["doc_id"].to_numpy(), [], 0
-        while q < len(asked_size):
-            to = max(q + 1, int(np.searchsorted(weight, weight[q] + (1 << 21), "right")) - 1)  # bounded memory
-            part = slice(first[q], first[to])
-            count = (hi - lo)[part]
-            at = np.repeat(lo[part], count) + runs(count)
-            who = np.repeat(np.repeat(np.arange(to - q), asked_size[q:to]), count)
-            shared = np.bincount(who * len(size) + owner[at], minlength=(to - q) * len(size)).reshape(to - q, -1)
-            union = asked_size[q:to, None] + size[None, :] - shared
-            linked = (100 * shared >= percent * union) & (shared > 0)
-            found = np.flatnonzero(linked.any(1))
-            out.append((query_ids[q + found], ids[linked[found].argmax(1)]))
-            q = to
-        return pa.table({"a": pa.array(np.concatenate([o[0] for o in out])), "b": pa.array(np.concatenate([o[1] for o in out]))})
+        out = _Union()
+        if rows.num_rows and queries.num_rows:
+            ids, query_ids = rows["doc_id"].to_pylist(), queries["doc_id"].to_pylist()
+            for q, linked in _similar(*_sets(rows, width), *_sets(queries, width), percent):
+                for i in np.flatnonzero(linked.any(1)).tolist():
+                    out.links.append((query_ids[q + i], ids[int(linked[i].argmax())]))
+        return out.table()
+
+    return run
+
+
+def _verify_cluster(width: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links (a, b) that join the components of two blocks of a cluster (or of one with itself) by similar documents."""
+        rows, queries = (table.filter(pc.equal(table["role"], k)) for k in (0, 1))
+        queries = rows if table["i"][0].as_py() == table["j"][0].as_py() else queries
+        out = _Union()
+        if rows.num_rows and queries.num_rows:
+            ids, query_ids, comp, query_comp = (t[c].to_numpy() for c in ("doc_id", "comp") for t in (rows, queries))
+            for q, linked in _similar(*_sets(rows, width), *_sets(queries, width), percent):
+                linked &= query_comp[q : q + len(linked), None] != comp[None, :]
+                for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                    out.link(int(query_comp[q + i]), int(comp[j]), int(query_ids[q + i]), int(ids[j]))
+        return out.table()
 
     return run
 
@@ -159,10 +204,13 @@ def _across(limit: float):
     shared = int((limit - 2 * _deviation(limit)) * S.M)  # far below what the estimate lets through
 
     def run(table: pa.Table) -> pa.Table:
-        """Components (c, several d, each c < d) with members in this block of a bucket that may be similar; each pair of documents in its first common band only."""
+        """Links (a, b) that join the components with members in this block that may be similar: one less than joined, not one per pair.
+
+        Each pair of documents is looked at in its first common band only.
+        """
         key = np.int64(table["key"][0].as_py()).view(np.uint64)
         rows, queries = (table.filter(pc.equal(table["role"], k)) for k in (0, 1))
-        found = set()
+        joined = _Union()
         if rows.num_rows and queries.num_rows:
             a, b = _registers(queries["registers"]), _registers(rows["registers"])
             ka, kb = S.band_keys(a), S.band_keys(b)
@@ -178,11 +226,9 @@ def _across(limit: float):
                 for s in range(0, len(i), 8192):
                     x, y = i[s : s + 8192], j[s : s + 8192]
                     near = S.similarity(a[x], b[y], na[x], nb[y]) >= least
-                    found.update(zip(np.minimum(ca[x], cb[y])[near].tolist(), np.maximum(ca[x], cb[y])[near].tolist(), strict=True))
-        by: dict[int, list[int]] = {}
-        for c, d in sorted(found):
-            by.setdefault(c, []).append(d)
-        return pa.table({"c": pa.array(list(by), pa.int64()), "d": pa.array(list(by.values()), pa.list_(pa.int64()))})
+                    for c, d in zip(ca[x[near]].tolist(), cb[y[near]].tolist(), strict=True):
+                        joined.link(c, d)
+        return joined.table()
 
     return run
 
@@ -227,22 +273,16 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     columns = ["key", "i", "j", "role", "doc_id", "comp", "n_shingles", "registers"]
     rows = held.withColumn("i", _one("ni", 2)).withColumn("j", _all("nj")).withColumn("role", F.lit(0)).select(*columns)
     asking = held.where("comp <> largest").withColumn("j", _one("nj", 3)).withColumn("i", _all("ni")).withColumn("role", F.lit(1)).select(*columns)
-    between = rows.unionByName(asking).groupBy("key", "i", "j").applyInArrow(_across(limit), "c long, d array<long>")
-    between = written(between.select("c", F.explode("d").alias("d")).distinct(), compact=True)
-
-    # full sets, the smaller component against the larger
-    whole = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    size_c, size_d = (whole.select(F.col("comp").alias(k), F.col("size").alias(f"n{k}")) for k in "cd")
-    sized = between.join(size_c, "c", "left").join(size_d, "d", "left").fillna(1, ["nc", "nd"])
-    swap = F.col("nc") >= F.col("nd")
-    sized = sized.select(F.when(swap, F.col("c")).otherwise(F.col("d")).alias("g"), F.when(swap, F.col("d")).otherwise(F.col("c")).alias("q"), F.greatest("nc", "nd").alias("ng"), F.least("nc", "nd").alias("nq"))
-    groups = sized.groupBy("g").agg(F.max("ng").alias("ng"), F.sum("nq").alias("nq")).select("g", _blocks("ng", BLOCK).alias("ni"), _blocks("nq", BLOCK).alias("nj"))
+    across = rows.unionByName(asking).groupBy("key", "i", "j").applyInArrow(_across(limit), "a long, b long")
+    clusters = components(across.distinct()).select(F.col("doc").alias("comp"), F.col("comp").alias("cluster"))
+
+    # full sets: the documents of a cluster of components, block against block
     parts = labels.select(F.col("comp").alias("_comp"), F.col("doc").alias("_doc"))
-    columns = ["g", "i", "j", "role", "doc_id"]
-    rows = groups.join(parts, F.col("g") == F.col("_comp"), "left").withColumn("doc_id", F.coalesce("_doc", "g")).withColumn("i", _one("ni", 4)).withColumn("j", _all("nj")).withColumn("role", F.lit(0)).select(*columns)
-    asked = sized.select("g", "q").join(parts, F.col("q") == F.col("_comp"), "left").withColumn("doc_id", F.coalesce("_doc", "q"))
-    asked = dealt_join(asked.select("g", "doc_id"), groups, ["g"], F.col("doc_id"), "inner").withColumn("j", _one("nj", 5)).withColumn("i", _all("ni")).withColumn("role", F.lit(1)).select(*columns)
-    more = _verified(texts, rows.unionByName(asked), width, percent)
+    held = written(clusters.join(parts, F.col("comp") == F.col("_comp"), "left").select("cluster", "comp", F.coalesce("_doc", "comp").alias("doc_id")), compact=True)
+    sizes = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", _blocks("n", CLUSTER_BLOCK).alias("nb"))
+    dealt = dealt_join(held, sizes, ["cluster"], F.col("doc_id"), "inner").withColumn("own", _one("nb", 4)).withColumn("other", _all("nb"))
+    dealt = dealt.select(F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "doc_id", "comp")
+    more = dealt.join(texts, "doc_id").groupBy("g", "i", "j").applyInArrow(_verify_cluster(width, percent), "a long, b long")
     return components(found.unionByName(more))
 
 

@@ -16,7 +16,7 @@ import numpy as np
 
 from ._text import ASCII_LOWER, Words, runs, span_hashes, word_spans
 
-WORDS = 1 << 21
+WORDS = 1 << 20
 PIECE = 1 << 14
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import usable
+from .scoring import DECISIVE_RULES
 
 KEYS = ["group_id", "format"]
 
@@ -30,30 +31,68 @@ def metadata_warnings(rows: DataFrame) -> DataFrame:
     return placeholder.unionByName(partly.select("group_id", F.lit(None).cast("long").alias("book_id"), F.lit("METADATA.LANGUAGE_INCOMPLETE").alias("code")))
 
 
-def select_formats(candidates: DataFrame, delta: int = 10) -> DataFrame:
+def decisive_facts(findings: DataFrame) -> DataFrame:
+    """(group_id, book_id, points, faults, out, out_decisively) of assessed EPUBs from findings (rule, points, severity).
+
+    `points` and `faults` (an Error or Disqualifying finding) are arrays in the order of
+    DECISIVE_RULES; `out` is any disqualifying finding, `out_decisively` one of a decisive rule.
+    """
+    grave, of = F.col("severity").isin("Error", "Disqualifying"), lambda r: F.col("rule") == r
+    points = F.array(*[F.coalesce(F.sum(F.when(of(r), F.col("points"))), F.lit(0)).cast("long") for r in DECISIVE_RULES])
+    faults = F.array(*[F.bool_or(of(r) & grave) for r in DECISIVE_RULES])
+    disqualifying = F.col("severity") == "Disqualifying"
+    return findings.groupBy("group_id", "book_id").agg(points.alias("points"), faults.alias("faults"), F.bool_or(disqualifying).alias("out"), F.bool_or(disqualifying & F.col("rule").isin(DECISIVE_RULES)).alias("out_decisively"))
+
+
+def select_formats(candidates: DataFrame, delta: int = 10, findings: DataFrame | None = None, sources: DataFrame | None = None, least: int = 4) -> DataFrame:
     """The ladder of choices per (group, format).
 
     Nothing present: Unavailable.  One present: FORMAT.ONLY_AVAILABLE_SOURCE.  All
-    present files equal: FORMAT.EXACT_BINARY_EQUIVALENT, the smallest record's file.
-    EPUB whose best score leads every other by `delta`: EPUB.MATERIAL_QUALITY_ADVANTAGE.
-    Anything else stays an unresolved conflict.  One aggregation and one shuffle:
-    equality is least = greatest fingerprint (a distinct count would expand the
-    rows), and the lead comes from the two best scores, not from a self-join.
+    present files equal: FORMAT.EXACT_BINARY_EQUIVALENT, the file of the metadata source
+    (`sources`: group_id, book_id) or else of the smallest record.  The only completed
+    EPUB where a decisive rule disqualifies all others: EPUB.VALID_OVER_DISQUALIFIED.  A
+    completed EPUB whose score leads every other by `delta`, that is `least` points ahead
+    of each in some decisive rule and has no fault which that one lacks:
+    EPUB.MATERIAL_QUALITY_ADVANTAGE.  Anything else, and any present EPUB without
+    assessment, stays an unresolved conflict.
+
+    `findings` (group_id, book_id, rule, points, severity) are the EPUBs' assessments.
+    Without them nothing but the scores is known: a score counts as completed and the
+    lead alone decides.  One aggregation and, with findings, a window of the same
+    partitioning: equality is least = greatest fingerprint (a distinct count would expand
+    the rows), and rivals are compared with the best row, not with each other.
     """
     present = F.col("status") == "Present"
+    rows = candidates.withColumn("_away", F.lit(0))
+    if sources is not None:
+        preferred = sources.groupBy("group_id").agg(F.min("book_id").alias("_source"))
+        rows = candidates.join(preferred, "group_id", "left").withColumn("_away", F.when(F.col("book_id") == F.col("_source"), 0).otherwise(1))
     order = F.struct((-F.col("score")).alias("s"), F.col("book_id"))
-    agg = candidates.groupBy(*KEYS).agg(
+    if findings is None:
+        rows = rows.withColumn("_done", present & F.col("score").isNotNull()).withColumn("_beaten", F.lit(True)).withColumn("_rejected", F.lit(False))
+    else:
+        rows = rows.join(decisive_facts(findings).withColumn("format", F.lit("EPUB")), [*KEYS, "book_id"], "left")
+        rows = rows.withColumn("_done", F.coalesce(present & ~F.col("out") & F.col("score").isNotNull(), F.lit(False))).withColumn("_rejected", F.coalesce(present & F.col("out_decisively"), F.lit(False)))
+        w = Window.partitionBy(*KEYS).orderBy(F.desc("_done"), F.desc("score"), "book_id")
+        rows = rows.withColumn("_rank", F.row_number().over(w)).withColumn("_p", F.first("points").over(w)).withColumn("_f", F.first("faults").over(w))
+        ahead = F.exists(F.zip_with("_p", "points", lambda p, q: p - q >= least), lambda x: x) & ~F.exists(F.zip_with("_f", "faults", lambda p, q: p & ~q), lambda x: x)
+        rows = rows.withColumn("_beaten", (F.col("_rank") == 1) | ~present | F.coalesce(ahead, F.lit(False)))
+    done = F.col("_done")
+    agg = rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("declared"), F.sum(present.cast("int")).alias("present"),
         (F.min(F.when(present, F.col("sha256"))).eqNullSafe(F.max(F.when(present, F.col("sha256")))) & F.bool_and(~present | F.col("sha256").isNotNull())).alias("all_equal"),
-        F.min(F.when(present, F.struct("book_id", F.translate("path", "\\", "/").alias("path")))).alias("least"),
-        F.min(F.when(present, F.struct(order.alias("o"), F.translate("path", "\\", "/").alias("path")))).alias("best"),
-        F.slice(F.array_sort(F.collect_list(F.when(present & (F.col("format") == "EPUB"), F.col("score")))), -2, 2).alias("top"),
+        F.bool_and(~present | F.col("sha256").isNotNull()).alias("known"), F.count_if(done).alias("completed"), F.count_if(F.col("_rejected")).alias("rejected"), F.bool_and("_beaten").alias("beaten"),
+        F.min(F.when(present, F.struct("_away", "book_id", F.translate("path", "\\", "/").alias("path")))).alias("least"),
+        F.min(F.when(done, F.struct(order.alias("o"), F.translate("path", "\\", "/").alias("path")))).alias("best"),
+        F.slice(F.array_sort(F.collect_list(F.when(done & (F.col("format") == "EPUB"), F.col("score")))), -2, 2).alias("top"),
     )
     lead = F.get("top", F.lit(1)) - F.get("top", F.lit(0))
-    reason = F.when(F.col("present") == 0, "FORMAT.NO_AVAILABLE_SOURCE").when(F.col("present") == 1, "FORMAT.ONLY_AVAILABLE_SOURCE").when(F.col("all_equal"), "FORMAT.EXACT_BINARY_EQUIVALENT").when(F.col("format") != "EPUB", "FORMAT.UNASSESSED_NONIDENTICAL_CONFLICT").when(lead >= delta, "EPUB.MATERIAL_QUALITY_ADVANTAGE").otherwise("EPUB.SCORES_TOO_CLOSE")
+    sole = F.col("known") & (F.col("completed") == 1) & (F.col("rejected") == F.col("present") - 1)
+    material = F.col("known") & (F.col("completed") == F.col("present")) & (lead >= delta) & F.col("beaten")
+    reason = F.when(F.col("present") == 0, "FORMAT.NO_AVAILABLE_SOURCE").when(F.col("present") == 1, "FORMAT.ONLY_AVAILABLE_SOURCE").when(F.col("all_equal"), "FORMAT.EXACT_BINARY_EQUIVALENT").when(F.col("format") != "EPUB", "FORMAT.UNASSESSED_NONIDENTICAL_CONFLICT").when(sole, "EPUB.VALID_OVER_DISQUALIFIED").when(material, "EPUB.MATERIAL_QUALITY_ADVANTAGE").otherwise("EPUB.SCORES_TOO_CLOSE")
     out = agg.withColumn("reason", reason)
     status = F.when(F.col("present") == 0, "Unavailable").when(F.col("reason").isin("FORMAT.UNASSESSED_NONIDENTICAL_CONFLICT", "EPUB.SCORES_TOO_CLOSE"), "UnresolvedConflict").otherwise("Selected")
-    by_score = F.col("reason") == "EPUB.MATERIAL_QUALITY_ADVANTAGE"
+    by_score = F.col("reason").isin("EPUB.VALID_OVER_DISQUALIFIED", "EPUB.MATERIAL_QUALITY_ADVANTAGE")
     strength = F.when(F.col("reason") == "FORMAT.EXACT_BINARY_EQUIVALENT", "Safe").when(F.col("resolution") == "Selected", "Strong")
     out = out.withColumn("resolution", status)
     chosen = F.col("resolution") == "Selected"

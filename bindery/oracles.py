@@ -186,6 +186,19 @@ ORACLE_SQL: dict[str, str] = {
     "W1_W2_metadata_source": f"""WITH {_MEMBERS}, {_VECTOR}, r AS (SELECT *, row_number() OVER w AS n, lead(book_id) OVER w AS runner_up, lead((core, integrity, completeness, strong_ids)) OVER w AS nx FROM vec WINDOW w AS (PARTITION BY group_id ORDER BY core DESC, integrity DESC, completeness DESC, strong_ids DESC, book_id))
         SELECT group_id, book_id, runner_up, runner_up IS NOT NULL AND nx = (core, integrity, completeness, strong_ids) AS tied, CASE WHEN runner_up IS NOT NULL AND nx = (core, integrity, completeness, strong_ids) THEN 'Safe' ELSE 'Strong' END AS strength FROM r WHERE n = 1""",
     "C11_C12_W3_format_selection": f"WITH {_SELECT} SELECT * FROM sel",
+    "C11_C12_W3_assessed_selection": f"""WITH {_CAND}, li AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber AS book_id, l_orderkey * 31 + l_linenumber * 7 AS k FROM lineitem WHERE l_returnflag = 'A' AND (l_orderkey * 31 + l_linenumber * 7) % 17 <> 0),
+        x AS (SELECT c.*, k IS NOT NULL AND format = 'EPUB' AS assessed, k % 5 < 2 OR k % 11 = 0 AS bad, k % 5 < 2 AS decisively, CASE WHEN k % 3 = 0 THEN -6 ELSE 4 END AS nav, CASE WHEN k % 8 = 0 THEN -4 WHEN k % 4 = 0 THEN -2 ELSE 0 END AS chap, k % 4 = 0 AS fault FROM c LEFT JOIN li USING (book_id)),
+        ms AS (SELECT group_id, max(book_id) AS m FROM c GROUP BY 1), p AS (SELECT x.*, m, assessed AND NOT bad AS done, row_number() OVER (PARTITION BY group_id, format ORDER BY (assessed AND NOT bad) DESC, score DESC, book_id) AS place FROM x JOIN ms USING (group_id) WHERE status = 'Present'),
+        b AS (SELECT * FROM p WHERE done AND place = 1),
+        v AS (SELECT b.group_id, b.format, bool_and(coalesce(b.score - r.score >= 10 AND (b.nav - r.nav >= 4 OR b.chap - r.chap >= 4) AND NOT (b.fault AND NOT r.fault), false)) AS wins FROM b JOIN p r ON r.group_id = b.group_id AND r.format = b.format AND r.place > 1 GROUP BY ALL),
+        n AS (SELECT group_id, format, count(*) AS declared, count(*) FILTER (status = 'Present') AS present FROM c GROUP BY ALL),
+        q AS (SELECT group_id, format, count(DISTINCT sha256) = 1 AND count(sha256) = count(*) AS same, count(*) FILTER (done) AS nd, count(*) FILTER (assessed AND bad AND decisively) AS nr, first(book_id ORDER BY book_id <> m, book_id) AS lb, first(path ORDER BY book_id <> m, book_id) AS lp FROM p GROUP BY ALL),
+        z AS (SELECT n.*, lb, lp, b.book_id AS bb, b.path AS bp, CASE WHEN n.present = 0 THEN 'FORMAT.NO_AVAILABLE_SOURCE' WHEN n.present = 1 THEN 'FORMAT.ONLY_AVAILABLE_SOURCE' WHEN same THEN 'FORMAT.EXACT_BINARY_EQUIVALENT' WHEN n.format <> 'EPUB' THEN 'FORMAT.UNASSESSED_NONIDENTICAL_CONFLICT'
+        WHEN nd = 1 AND nr = n.present - 1 THEN 'EPUB.VALID_OVER_DISQUALIFIED' WHEN nd = n.present AND wins THEN 'EPUB.MATERIAL_QUALITY_ADVANTAGE' ELSE 'EPUB.SCORES_TOO_CLOSE' END AS reason FROM n LEFT JOIN q USING (group_id, format) LEFT JOIN b USING (group_id, format) LEFT JOIN v USING (group_id, format))
+        SELECT group_id, format, declared, present, CASE WHEN present = 0 THEN 'Unavailable' WHEN reason IN ('FORMAT.UNASSESSED_NONIDENTICAL_CONFLICT', 'EPUB.SCORES_TOO_CLOSE') THEN 'UnresolvedConflict' ELSE 'Selected' END AS resolution, reason,
+        CASE WHEN reason IN ('EPUB.VALID_OVER_DISQUALIFIED', 'EPUB.MATERIAL_QUALITY_ADVANTAGE') THEN bb WHEN reason IN ('FORMAT.ONLY_AVAILABLE_SOURCE', 'FORMAT.EXACT_BINARY_EQUIVALENT') THEN lb END AS source_id,
+        CASE WHEN reason IN ('EPUB.VALID_OVER_DISQUALIFIED', 'EPUB.MATERIAL_QUALITY_ADVANTAGE') THEN bp WHEN reason IN ('FORMAT.ONLY_AVAILABLE_SOURCE', 'FORMAT.EXACT_BINARY_EQUIVALENT') THEN lp END AS source_path,
+        CASE WHEN reason = 'FORMAT.EXACT_BINARY_EQUIVALENT' THEN 'Safe' WHEN reason IN ('FORMAT.ONLY_AVAILABLE_SOURCE', 'EPUB.VALID_OVER_DISQUALIFIED', 'EPUB.MATERIAL_QUALITY_ADVANTAGE') THEN 'Strong' END AS strength FROM z""",
     "C13_G5_decisive_advantage": f"""WITH {_CAND}, ep AS (SELECT * FROM c WHERE format = 'EPUB'), s AS (SELECT book_id, i, sum((score * (i + 3)) % 11 - 5) AS p FROM ep, (SELECT unnest(range(3)) AS i) GROUP BY ALL), b AS (SELECT group_id, min(book_id) AS best FROM ep GROUP BY 1)
         SELECT best, ep.book_id AS other, bool_or(x.p - y.p >= 4) AND NOT bool_or(x.p < 0 AND y.p >= 0) AS advantage FROM ep JOIN b USING (group_id) JOIN s x ON x.book_id = best JOIN s y ON y.book_id = ep.book_id AND y.i = x.i WHERE ep.book_id <> best GROUP BY ALL""",
     "C14_redundant_records": f"""WITH {_SELECT} SELECT c.group_id, c.book_id FROM c JOIN sel USING (group_id, format) WHERE c.book_id NOT IN (SELECT min(book_id) FROM c GROUP BY group_id) GROUP BY ALL

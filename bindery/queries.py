@@ -372,6 +372,13 @@ def C11_C12_W3_format_selection(spark, d):
     return recommend.select_formats(B.candidates(spark, d))
 
 
+@query
+def C11_C12_W3_assessed_selection(spark, d):
+    rows = B.candidates(spark, d)
+    last = rows.groupBy("group_id").agg(F.max("book_id").alias("book_id"))  # a metadata source that is not the smallest record
+    return recommend.select_formats(rows, findings=B.assessments(spark, d), sources=last)
+
+
 def _sources(spark, d):
     return B.candidates(spark, d).groupBy("group_id").agg(F.min("book_id").alias("book_id"))
 

@@ -67,6 +67,20 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group_id"), F.when(F.col("l_returnflag") == "A", "EPUB").when(F.col("l_returnflag") == "N", "PDF").otherwise("MOBI").alias("format"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("book_id"), F.concat(F.lit("a\\b"), F.col("l_linenumber").cast("string")).alias("path"), F.col("l_quantity").cast("int").alias("score"), F.when(F.col("l_suppkey") % 13 != 0, F.sha2((F.col("l_suppkey") % 3).cast("string"), 256)).alias("sha256"), F.when(F.col("l_suppkey") % 13 == 0, "Missing").otherwise("Present").alias("status"))
 
 
+def assessments(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of the candidates' EPUBs: decisive and other rules, errors and disqualifications; some EPUBs have none."""
+    part = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7  # lines repeat, so the key of the file decides
+    found = lambda rule, points, severity: F.struct(F.lit(rule).alias("rule"), points.cast("int").alias("points"), severity.alias("severity"))
+    rules = F.array(
+        found("EPUB.NAVIGATION", F.when(part % 3 == 0, -6).otherwise(4), F.when(part % 3 == 0, "Warning").otherwise(F.lit("Positive"))),
+        F.when(part % 4 == 0, found("EPUB.CHAPTER.EMPTY", F.lit(-2), F.lit("Error"))), F.when(part % 8 == 0, found("EPUB.CHAPTER.EMPTY", F.lit(-2), F.lit("Error"))),
+        found("EPUB.METADATA.TITLE", F.when(part % 2 == 0, -4).otherwise(3), F.when(part % 2 == 0, "Warning").otherwise(F.lit("Positive"))),
+        F.when(part % 5 < 2, found("EPUB.OPEN", F.lit(0), F.lit("Disqualifying"))), F.when(part % 11 == 0, found("EPUB.ENCRYPTION", F.lit(0), F.lit("Disqualifying"))),
+    )
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'A'").select("l_orderkey", "l_linenumber").distinct().where(part % 17 != 0)
+    return lines.select(F.col("l_orderkey").alias("group_id"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("book_id"), F.inline(F.array_compact(rules)))
+
+
 def journal(spark: SparkSession, d: str) -> DataFrame:
     """Execution journals: a user's events in time order."""
     kind = F.when(F.col("event_type") == "purchase", "TerminalSummary").when(F.col("event_type") == "click", "MutationStarted").otherwise(F.initcap("event_type"))

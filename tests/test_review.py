@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from bindery.operators import recommend
 from bindery.operators.skew import dealt_join
 from bindery.plans import review
 
@@ -34,3 +36,36 @@ def test_dealt_join_keeps_every_row_of_a_hot_key(spark):
     rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     out = dealt_join(rows, spark.createDataFrame([(7, "hot"), (1, "one")], "k long, v string"), ["k"], F.col("id"))
     assert {r.v: r["count"] for r in out.groupBy("v").count().collect()} == {"hot": 1668, "one": 1}
+
+
+CANDIDATES = "group_id long, format string, book_id long, path string, score int, sha256 string, status string"
+FINDINGS = "group_id long, book_id long, rule string, points int, severity string"
+NAV, OUT = (("EPUB.NAVIGATION", 4, "Positive"), ("EPUB.NAVIGATION", -6, "Warning")), ("EPUB.OPEN", 0, "Disqualifying")
+ERROR = ("EPUB.CHAPTER.EMPTY", -2, "Error")
+
+
+@pytest.mark.parametrize(
+    ("scores", "found", "reason", "source"),
+    [
+        ([70, 55], [[NAV[0]], [NAV[0]]], "EPUB.SCORES_TOO_CLOSE", None),  # a lead without a decisive difference
+        ([70, 55], [[NAV[0]], [NAV[1]]], "EPUB.MATERIAL_QUALITY_ADVANTAGE", 1),
+        ([70, 55, 50], [[NAV[0]], [NAV[1]], [NAV[0]]], "EPUB.SCORES_TOO_CLOSE", None),  # not over every rival
+        ([70, 55], [[NAV[0], ERROR], [NAV[1]]], "EPUB.SCORES_TOO_CLOSE", None),  # a fault that the rival lacks
+        ([70, 55], [[NAV[0], ERROR], [NAV[1], ERROR]], "EPUB.MATERIAL_QUALITY_ADVANTAGE", 1),
+        ([None, 20], [[OUT], [NAV[1]]], "EPUB.VALID_OVER_DISQUALIFIED", 2),
+        ([None, 20], [[("EPUB.ENCRYPTION", 0, "Disqualifying")], [NAV[1]]], "EPUB.SCORES_TOO_CLOSE", None),  # not a decisive rule
+        ([70, None], [[NAV[0]], []], "EPUB.SCORES_TOO_CLOSE", None),  # not assessed
+        ([None, 20, 70], [[OUT], [NAV[1]], [NAV[0]]], "EPUB.SCORES_TOO_CLOSE", None),
+    ],
+)
+def test_assessed_epubs(spark, scores, found, reason, source):
+    rows = spark.createDataFrame([(1, "EPUB", i + 1, "p", s, f"x{i}", "Present") for i, s in enumerate(scores)], CANDIDATES)
+    findings = spark.createDataFrame([(1, i + 1, *f) for i, fs in enumerate(found) for f in fs], FINDINGS)
+    r = recommend.select_formats(rows, findings=findings).first()
+    assert (r.reason, r.source_id, r.resolution) == (reason, source, "Selected" if source else "UnresolvedConflict")
+
+
+def test_equal_files_come_from_the_metadata_source_and_unscored_ones_stay_open(spark):
+    rows = spark.createDataFrame([(1, "PDF", 1, "a", 0, "x", "Present"), (1, "PDF", 2, "b", 0, "x", "Present"), (2, "EPUB", 3, "a", 90, "x", "Present"), (2, "EPUB", 4, "b", 70, "y", "Present"), (2, "EPUB", 5, "c", None, "z", "Present")], CANDIDATES)
+    out = recommend.select_formats(rows, sources=spark.createDataFrame([(1, 2)], "group_id long, book_id long"))
+    assert {r.group_id: (r.source_id, r.source_path) for r in out.collect()} == {1: (2, "b"), 2: (None, None)}

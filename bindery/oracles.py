@@ -217,6 +217,8 @@ ORACLE_SQL: dict[str, str] = {
     "C20_C21_plan_instructions": f"WITH {_PLAN} SELECT * FROM plan",
     "C22_U7_plan_coverage": f"""WITH {_PLAN}, q AS (SELECT * FROM plan WHERE NOT (kind = 'FormatRemoval' AND book_id % 7 = 0)), d AS (SELECT group_id, book_id, format, count(*) FILTER (kind = 'Retention') AS kept, count(*) FILTER (kind = 'FormatRemoval') AS gone, bool_or(reason = 'RemovedWithSourceRecordAfterRetention') AS moved FROM q WHERE kind IN ('Retention', 'FormatRemoval') GROUP BY ALL)
         SELECT c.group_id, c.book_id, c.format FROM c LEFT JOIN d USING (group_id, book_id, format) WHERE (c.group_id, c.format) IN (SELECT group_id, format FROM q WHERE format IS NOT NULL) AND NOT coalesce(kept + gone = 1 OR (kept = 1 AND gone = 1 AND moved), false)""",
+    "C22_declared_coverage": f"""WITH {_PLAN}, q AS (SELECT * FROM plan WHERE NOT coalesce(format = 'MOBI' AND group_id % 5 = 0, false)), d AS (SELECT group_id, book_id, format, count(*) FILTER (kind = 'Retention') AS kept, count(*) FILTER (kind = 'FormatRemoval') AS gone, bool_or(reason = 'RemovedWithSourceRecordAfterRetention') AS moved FROM q WHERE kind IN ('Retention', 'FormatRemoval') GROUP BY ALL)
+        SELECT c.group_id, c.book_id, c.format FROM c LEFT JOIN d USING (group_id, book_id, format) WHERE c.group_id IN (SELECT group_id FROM q) AND NOT coalesce(kept + gone = 1 OR (kept = 1 AND gone = 1 AND moved), false)""",
     "C23_required_issues": f"""WITH {_PLAN}, pg AS (SELECT DISTINCT group_id FROM plan) SELECT group_id, 'Information' AS severity, unnest(['PLAN.BACKUP_REQUIRED', 'PLAN.NO_FILES_MODIFIED', 'PLAN.REVIEW_BOUND', 'PLAN.VERIFICATION_REQUIRED']) AS code, 1::BIGINT AS n FROM pg
         UNION ALL SELECT group_id, 'Warning', 'PLAN.NON_IDENTICAL_REPLACEMENT', count(*) FROM plan WHERE reason = 'ReviewedNonIdenticalReplacement' GROUP BY 1 UNION ALL SELECT group_id, 'Information', 'PLAN.COVER_PRESENT', count(*) FROM c WHERE book_id % 5 = 0 AND group_id IN (FROM pg) GROUP BY 1""",
     "C24_J15_staleness": f"WITH {_DIFF} SELECT group_id, count(*) AS changes, 'PLAN.STALE' AS code FROM diff GROUP BY 1",

@@ -60,7 +60,7 @@ def instructions(files: DataFrame, selections: DataFrame, targets: DataFrame) ->
 def coverage_violations(files: DataFrame, plan: DataFrame) -> DataFrame:
     """(group_id, book_id, format): files of a plan's groups that are neither kept nor removed, or both in a way that is not allowed."""
     done = plan.where("kind IN ('Retention', 'FormatRemoval')").groupBy("group_id", "book_id", "format").agg(F.sum((F.col("kind") == "Retention").cast("int")).alias("kept"), F.sum((F.col("kind") == "FormatRemoval").cast("int")).alias("gone"), F.bool_or(F.col("reason") == "RemovedWithSourceRecordAfterRetention").alias("moved"))
-    judged = files.join(plan.select("group_id", "format").distinct(), ["group_id", "format"], "left_semi").join(done, ["group_id", "book_id", "format"], "left")
+    judged = files.join(plan.select("group_id").distinct(), "group_id", "left_semi").join(done, ["group_id", "book_id", "format"], "left")
     fine = (F.col("kept") + F.col("gone") == 1) | ((F.col("kept") == 1) & (F.col("gone") == 1) & F.col("moved"))
     return judged.where(~F.coalesce(fine, F.lit(False))).select("group_id", "book_id", "format")
 

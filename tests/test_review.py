@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from bindery.operators import recommend
 from bindery.operators.skew import dealt_join
-from bindery.plans import review
+from bindery.plans import cleanup, review
 
 
 def test_unlinked_codes(spark):
@@ -69,3 +69,11 @@ def test_equal_files_come_from_the_metadata_source_and_unscored_ones_stay_open(s
     rows = spark.createDataFrame([(1, "PDF", 1, "a", 0, "x", "Present"), (1, "PDF", 2, "b", 0, "x", "Present"), (2, "EPUB", 3, "a", 90, "x", "Present"), (2, "EPUB", 4, "b", 70, "y", "Present"), (2, "EPUB", 5, "c", None, "z", "Present")], CANDIDATES)
     out = recommend.select_formats(rows, sources=spark.createDataFrame([(1, 2)], "group_id long, book_id long"))
     assert {r.group_id: (r.source_id, r.source_path) for r in out.collect()} == {1: (2, "b"), 2: (None, None)}
+
+
+def test_coverage_reports_a_format_that_the_plan_omits(spark):
+    files = spark.createDataFrame([(1, "EPUB", 1, "a", 9, "x", "Present"), (1, "EPUB", 2, "b", 9, "x", "Present"), (1, "PDF", 2, "c", 9, "y", "Present")], CANDIDATES)
+    plan = cleanup.instructions(files, recommend.select_formats(files), spark.createDataFrame([(1, 1)], "group_id long, target_id long"))
+    assert cleanup.coverage_violations(files, plan).collect() == []
+    omitted = plan.where("coalesce(format, '') <> 'PDF'")
+    assert [(r.book_id, r.format) for r in cleanup.coverage_violations(files, omitted).collect()] == [(2, "PDF")]

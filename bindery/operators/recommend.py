@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import usable
+from .conflicts import separate_disjoint
 from .scoring import DECISIVE_RULES
 
 KEYS = ["group_id", "format"]
@@ -154,6 +157,12 @@ def strong_overlap(rows: DataFrame, kind: str) -> Column:
     return F.filter(F.col("strong"), lambda v: v.startswith(kind + ":"))
 
 
+def identifier_conflicts(rows: DataFrame) -> DataFrame:
+    """(group_id, book_id, code, type): members that disjoint ISBNs, DOIs, ASINs or OCLC numbers separate, each type by itself; `strong` holds `TYPE:value`."""
+    each = [separate_disjoint(rows.withColumn("strong", strong_overlap(rows, t)), "strong", "IDENTIFIER.STRONG_CONFLICT").withColumn("type", F.lit(t)) for t in ("ISBN", "DOI", "ASIN", "OCLC")]
+    return reduce(DataFrame.unionByName, each)
+
+
 def neighbours(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Each row's next and previous `order` value in its `key`, around the ends."""
     w = Window.partitionBy(key).orderBy(order)

@@ -258,3 +258,5 @@ ORACLE_SQL: dict[str, str] = {
     "U10_U9_lineage": """WITH e AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS a FROM events GROUP BY 1) SELECT user_id, user_id % 3 <> 0 OR (len(a) >= 3 AND a[3] = 'other') AS continues, user_id % 3 <> 0 OR (len(a) >= 3 AND a[3] = 'other') AS same_start FROM e""",
     "H4_graph_digest": f"WITH {_OPS}, o AS (SELECT *, (CASE WHEN p = 3 THEN ordinal WHEN operation = 'verify:metadata' THEN 0 ELSE 1 END)::VARCHAR AS n FROM graph) SELECT group_id, sha256(string_agg({_f16('operation')} || {_f16('phase')} || {_f16('n')}, '' ORDER BY ordinal, operation)) AS digest FROM o GROUP BY 1",
 }
+ORACLE_SQL["C3_strong_identifier_conflicts"] = " UNION ALL ".join(f"""SELECT *, '{t}' AS type FROM (WITH x AS ({ORACLE_SQL['X3_X7_G10_strong_identifiers']}), m AS (SELECT book_id % 200 AS group_id, book_id, coalesce(list_sort(list(DISTINCT strong) FILTER (starts_with(strong, '{t}:'))), []) AS strong FROM x GROUP BY ALL),
+    sets AS (SELECT group_id, strong AS v, count(*) AS n FROM m WHERE len(strong) > 0 GROUP BY ALL) {_disjoint('strong', 'IDENTIFIER.STRONG_CONFLICT', 'm')})""" for t in ("ISBN", "DOI", "ASIN", "OCLC"))

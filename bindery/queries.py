@@ -318,6 +318,12 @@ def C3_J12_identifier_conflicts(spark, d):
     return conflicts.separate_disjoint(sets, "strong", "IDENTIFIER.STRONG_CONFLICT")
 
 
+@query
+def C3_strong_identifier_conflicts(spark, d):
+    rows = B.identifiers(spark, d).withColumn("strong", I.strong(F.col("type"), F.col("value")))
+    return recommend.identifier_conflicts(rows.groupBy((F.col("book_id") % 200).alias("group_id"), "book_id").agg(F.array_sort(F.collect_set("strong")).alias("strong")))
+
+
 @query
 def C4_C5_edition_conflicts(spark, d):
     rows = B.members(spark, d).withColumn("edition", X.edition(F.col("title")))

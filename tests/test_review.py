@@ -77,3 +77,8 @@ def test_coverage_reports_a_format_that_the_plan_omits(spark):
     assert cleanup.coverage_violations(files, plan).collect() == []
     omitted = plan.where("coalesce(format, '') <> 'PDF'")
     assert [(r.book_id, r.format) for r in cleanup.coverage_violations(files, omitted).collect()] == [(2, "PDF")]
+
+
+def test_identifier_conflicts_of_every_type(spark):
+    rows = spark.createDataFrame([(1, 1, ["ISBN:1", "DOI:a"]), (1, 2, ["ISBN:1", "DOI:b"]), (2, 3, ["ASIN:a"]), (2, 4, ["ASIN:a"]), (2, 5, ["ASIN:b", "OCLC:1"])], "group_id long, book_id long, strong array<string>")
+    assert sorted((r.book_id, r.type) for r in recommend.identifier_conflicts(rows).collect()) == [(1, "DOI"), (2, "DOI"), (5, "ASIN")]

@@ -95,6 +95,29 @@ def top_source(vectors: DataFrame, order: list, same: list[str]) -> DataFrame:
     return ranked.where("rank = 1").select("group_id", "book_id", "runner_up", tied.alias("tied"), F.when(tied, "Safe").otherwise("Strong").alias("strength"))
 
 
+def signal_counts(rows: DataFrame, signals: list[str]) -> DataFrame:
+    """(group_id, book_id, conflicts, consistency): in how many signals a record contradicts the group's consensus, and agrees with it.
+
+    Consensus as in `mode_consensus`; agreement also with the only known value.  Unknown values count for neither.
+    """
+    out, against, agrees = rows.select("group_id", "book_id", *signals), F.lit(0), F.lit(0)
+    for v in signals:
+        counts = rows.where(F.col(v).isNotNull()).groupBy("group_id", v).agg(F.count(F.lit(1)).alias("n"))
+        best = counts.groupBy("group_id").agg(F.max("n").alias("t"), F.max_by(v, "n").alias("b"), F.collect_list("n").alias("ns"))
+        shared = F.when((F.col("t") >= 2) & (F.size(F.filter("ns", lambda x: x == F.col("t"))) == 1), F.col("b"))
+        out = out.join(best.select("group_id", shared.alias(f"_c_{v}"), F.when(F.size("ns") == 1, F.col("b")).alias(f"_o_{v}")), "group_id", "left")
+        against = against + F.coalesce(F.col(v) != F.col(f"_c_{v}"), F.lit(False)).cast("int")
+        agrees = agrees + F.coalesce(F.col(v) == F.coalesce(f"_c_{v}", f"_o_{v}"), F.lit(False)).cast("int")
+    return out.select("group_id", "book_id", against.alias("conflicts"), agrees.alias("consistency"))
+
+
+def metadata_source(vectors: DataFrame) -> DataFrame:
+    """`top_source` by core, integrity, fewest conflicts, completeness, consistency, strong ids and id; none where no record is core-usable."""
+    usable = vectors.join(vectors.where("core").select("group_id").distinct(), "group_id", "left_semi")
+    same = ["core", "integrity", "conflicts", "completeness", "consistency", "strong_ids"]
+    return top_source(usable, [*[F.asc(c) if c == "conflicts" else F.desc(c) for c in same], F.asc("book_id")], same)
+
+
 def availability(formats: DataFrame) -> DataFrame:
     """(group_id, warns): some two non-empty format sets of a group's records are disjoint or differ in two or more.
 

@@ -185,6 +185,11 @@ ORACLE_SQL: dict[str, str] = {
         FROM s x JOIN s y ON x.g = y.g AND x.b < y.b GROUP BY 1) SELECT DISTINCT s.g AS group_id, coalesce(w, false) AS warns FROM s LEFT JOIN p ON s.g = p.g""",
     "W1_W2_metadata_source": f"""WITH {_MEMBERS}, {_VECTOR}, r AS (SELECT *, row_number() OVER w AS n, lead(book_id) OVER w AS runner_up, lead((core, integrity, completeness, strong_ids)) OVER w AS nx FROM vec WINDOW w AS (PARTITION BY group_id ORDER BY core DESC, integrity DESC, completeness DESC, strong_ids DESC, book_id))
         SELECT group_id, book_id, runner_up, runner_up IS NOT NULL AND nx = (core, integrity, completeness, strong_ids) AS tied, CASE WHEN runner_up IS NOT NULL AND nx = (core, integrity, completeness, strong_ids) THEN 'Safe' ELSE 'Strong' END AS strength FROM r WHERE n = 1""",
+    "W1_W2_G7_G8_whole_source": f"""WITH {_MEMBERS}, {_VECTOR}, sg AS (SELECT group_id, book_id, publisher AS s1, nullif(array_to_string(list_sort(languages), '|'), '') AS s2, year::VARCHAR AS s3, series AS s4 FROM members), {', '.join(f'''w{i} AS (SELECT group_id, s{i} AS v, count(*) AS n FROM sg WHERE s{i} IS NOT NULL GROUP BY group_id, s{i}), t{i} AS (SELECT group_id, max(n) AS top, count(*) AS d FROM w{i} GROUP BY 1),
+        a{i} AS (SELECT group_id, CASE WHEN top >= 2 AND count(*) FILTER (n = top) = 1 THEN min(v) FILTER (n = top) END AS c, CASE WHEN d = 1 THEN min(v) END AS o FROM w{i} JOIN t{i} USING (group_id) GROUP BY group_id, top, d)''' for i in (1, 2, 3, 4))},
+        k AS (SELECT sg.group_id, sg.book_id, {' + '.join(f'coalesce(s{i} <> a{i}.c, false)::INT' for i in (1, 2, 3, 4))} AS bad, {' + '.join(f'coalesce(s{i} = coalesce(a{i}.c, a{i}.o), false)::INT' for i in (1, 2, 3, 4))} AS good FROM sg {' '.join(f'LEFT JOIN a{i} ON a{i}.group_id = sg.group_id' for i in (1, 2, 3, 4))}),
+        r AS (SELECT *, row_number() OVER w AS n, lead(book_id) OVER w AS runner_up, lead((core, integrity, bad, completeness, good, strong_ids)) OVER w AS nx FROM vec JOIN k USING (group_id, book_id) WINDOW w AS (PARTITION BY group_id ORDER BY core DESC, integrity DESC, bad, completeness DESC, good DESC, strong_ids DESC, book_id)),
+        f AS (SELECT *, runner_up IS NOT NULL AND nx = (core, integrity, bad, completeness, good, strong_ids) AS tied FROM r WHERE n = 1 AND core) SELECT group_id, book_id, runner_up, tied, CASE WHEN tied THEN 'Safe' ELSE 'Strong' END AS strength FROM f""",
     "C11_C12_W3_format_selection": f"WITH {_SELECT} SELECT * FROM sel",
     "C11_C12_W3_assessed_selection": f"""WITH {_CAND}, li AS (SELECT DISTINCT l_orderkey * 100 + l_linenumber AS book_id, l_orderkey * 31 + l_linenumber * 7 AS k FROM lineitem WHERE l_returnflag = 'A' AND (l_orderkey * 31 + l_linenumber * 7) % 17 <> 0),
         x AS (SELECT c.*, k IS NOT NULL AND format = 'EPUB' AS assessed, k % 5 < 2 OR k % 11 = 0 AS bad, k % 5 < 2 AS decisively, CASE WHEN k % 3 = 0 THEN -6 ELSE 4 END AS nav, CASE WHEN k % 8 = 0 THEN -4 WHEN k % 4 = 0 THEN -2 ELSE 0 END AS chap, k % 4 = 0 AS fault FROM c LEFT JOIN li USING (book_id)),

@@ -370,6 +370,14 @@ def W1_W2_metadata_source(spark, d):
     return conflicts.top_source(_vectors(spark, d), order, ["core", "integrity", "completeness", "strong_ids"])
 
 
+@query
+def W1_W2_G7_G8_whole_source(spark, d):
+    text = lambda c: F.nullif(X.light(F.col(c)), F.lit(""))
+    rows = B.members(spark, d).select("group_id", "book_id", text("publisher").alias("publisher"), X.signature(F.transform("languages", lambda v: F.upper(v))).alias("language"), "year", text("series").alias("series"))
+    counts = conflicts.signal_counts(rows, ["publisher", "language", "year", "series"])
+    return conflicts.metadata_source(_vectors(spark, d).join(counts, ["group_id", "book_id"]))
+
+
 # recommendations
 
 

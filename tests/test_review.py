@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.operators import recommend
+from bindery.operators import conflicts, recommend
 from bindery.operators.skew import dealt_join
 from bindery.plans import cleanup, review
 
@@ -82,3 +82,11 @@ def test_coverage_reports_a_format_that_the_plan_omits(spark):
 def test_identifier_conflicts_of_every_type(spark):
     rows = spark.createDataFrame([(1, 1, ["ISBN:1", "DOI:a"]), (1, 2, ["ISBN:1", "DOI:b"]), (2, 3, ["ASIN:a"]), (2, 4, ["ASIN:a"]), (2, 5, ["ASIN:b", "OCLC:1"])], "group_id long, book_id long, strong array<string>")
     assert sorted((r.book_id, r.type) for r in recommend.identifier_conflicts(rows).collect()) == [(1, "DOI"), (2, "DOI"), (5, "ASIN")]
+
+
+def test_metadata_source_counts_conflicts_and_needs_a_usable_record(spark):
+    rows = spark.createDataFrame([(1, 1, "A", 2020), (1, 2, "B", 2021), (1, 3, "B", None)], "group_id long, book_id long, publisher string, year int")
+    assert {r.book_id: (r.conflicts, r.consistency) for r in conflicts.signal_counts(rows, ["publisher", "year"]).collect()} == {1: (1, 0), 2: (0, 1), 3: (0, 1)}
+    vector = "group_id long, book_id long, core boolean, integrity boolean, conflicts int, completeness int, consistency int, strong_ids int"
+    vectors = spark.createDataFrame([(1, 1, True, True, 1, 7, 0, 0), (1, 2, True, True, 0, 3, 0, 0), (1, 3, True, True, 0, 3, 1, 0), (2, 4, False, True, 0, 7, 4, 1)], vector)
+    assert [(r.book_id, r.runner_up, r.tied) for r in conflicts.metadata_source(vectors).collect()] == [(3, 2, False)]

@@ -265,3 +265,8 @@ ORACLE_SQL: dict[str, str] = {
 }
 ORACLE_SQL["C3_strong_identifier_conflicts"] = " UNION ALL ".join(f"""SELECT *, '{t}' AS type FROM (WITH x AS ({ORACLE_SQL['X3_X7_G10_strong_identifiers']}), m AS (SELECT book_id % 200 AS group_id, book_id, coalesce(list_sort(list(DISTINCT strong) FILTER (starts_with(strong, '{t}:'))), []) AS strong FROM x GROUP BY ALL),
     sets AS (SELECT group_id, strong AS v, count(*) AS n FROM m WHERE len(strong) > 0 GROUP BY ALL) {_disjoint('strong', 'IDENTIFIER.STRONG_CONFLICT', 'm')})""" for t in ("ISBN", "DOI", "ASIN", "OCLC"))
+ORACLE_SQL["C7_whole_cohorts"] = f"""WITH {_MEMBERS}, gone AS (SELECT book_id FROM ({ORACLE_SQL['C1_language_conflicts']}) UNION SELECT book_id FROM ({ORACLE_SQL['C2_series_conflicts']})
+    UNION SELECT book_id FROM (WITH ed AS (SELECT group_id, book_id, CASE WHEN title LIKE '%Second Edition%' THEN 'SECOND EDITION' END AS edition FROM members) {_known('edition', 'E', 'ed')})
+    UNION SELECT book_id FROM (WITH s AS (SELECT group_id FROM members GROUP BY 1 HAVING max(year) - min(year) >= 2), wide AS (SELECT m.* FROM members m JOIN s USING (group_id)) {_known('year', 'Y', 'wide')})),
+    m AS (SELECT group_id, book_id, book_id NOT IN (SELECT book_id FROM gone) AS stays FROM members), n AS (SELECT *, count(*) FILTER (stays) OVER (PARTITION BY group_id) AS size FROM m)
+    SELECT group_id, book_id, stays AND size >= 2 AS in_cohort, CASE WHEN size < 2 THEN 'RetainedSeparate' WHEN stays THEN 'Cohort' ELSE 'Separated' END AS outcome FROM n"""

@@ -343,6 +343,14 @@ def C7_cohorts(spark, d):
     return conflicts.cohort(rows, conflicts.separate_known(rows, "series", "METADATA.SERIES_CONFLICT").where("book_id % 2 = 0"))
 
 
+@query
+def C7_whole_cohorts(spark, d):
+    rows = B.members(spark, d)
+    editions = conflicts.separate_known(rows.withColumn("edition", X.edition(F.col("title"))), "edition", "METADATA.EDITION_WORDING_CONFLICT")
+    languages = conflicts.separate_disjoint(rows, "languages", "METADATA.LANGUAGE_CONFLICT")
+    return conflicts.cohort(rows, editions.unionByName(conflicts.year_conflicts(rows)[1]).unionByName(languages).unionByName(conflicts.series_conflicts(rows)))
+
+
 def _vectors(spark, d):
     rows = B.members(spark, d).withColumn("strong", F.when(F.col("book_id") % 3 == 0, F.array(F.lit("ISBN:1"))).otherwise(F.array().cast("array<string>")))
     return recommend.metadata_vector(rows, rows.where("book_id % 8 = 0"))

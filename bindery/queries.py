@@ -609,7 +609,7 @@ def G4_W4_scores(spark, d):
 
 @query
 def O5_G15_finding_rows(spark, d):
-    rows = scoring.findings(_facts(spark, d), ["host"], kept=3)
+    rows = scoring.findings(_facts(spark, d), ["host"])
     return rows.groupBy("host", "rule", "severity").agg(F.sum("points").alias("points"), F.count(F.lit(1)).alias("n"), F.min(scoring.severity_rank(F.col("severity"))).alias("rank"))
 
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.operators import conflicts, recommend
+from bindery.operators import conflicts, recommend, scoring
 from bindery.operators.skew import dealt_join
 from bindery.plans import cleanup, review
 
@@ -90,3 +90,10 @@ def test_metadata_source_counts_conflicts_and_needs_a_usable_record(spark):
     vector = "group_id long, book_id long, core boolean, integrity boolean, conflicts int, completeness int, consistency int, strong_ids int"
     vectors = spark.createDataFrame([(1, 1, True, True, 1, 7, 0, 0), (1, 2, True, True, 0, 3, 0, 0), (1, 3, True, True, 0, 3, 1, 0), (2, 4, False, True, 0, 7, 4, 1)], vector)
     assert [(r.book_id, r.runner_up, r.tied) for r in conflicts.metadata_source(vectors).collect()] == [(3, 2, False)]
+
+
+def test_finding_rows_keep_a_hundred_and_one_omitted_row(spark):
+    empty = "array<string>"
+    facts = spark.range(1).select(F.lit("h").alias("host"), F.transform(F.sequence(F.lit(1), F.lit(102)), lambda i: F.lpad(i.cast("string"), 4, "0")).alias("empty_chapters"), *[F.array().cast(empty).alias(c) for c in ("problems", "missing_spine", "broken_refs", "repeated_refs", "authors", "languages")], *[F.lit(None).cast("string").alias(c) for c in ("title", "date", "strong_identifier")], *[F.lit(True).alias(c) for c in ("cover", "navigation")], *[F.lit(600).alias(c) for c in ("cover_width", "cover_height", "spine", "chars")])
+    rows = [r for r in scoring.findings(facts, ["host"]).collect() if r.rule == "EPUB.CHAPTER.EMPTY"]
+    assert len(rows) == 101 and rows[-1].evidence == "omitted:2" and sum(r.points for r in rows) == -10

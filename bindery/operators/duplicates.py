@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.digests import binary_group_id, metadata_group_id
 from ..functions.text import canonical
-from .skew import dealt_join
+from .skew import HOT_ROWS, dealt_join
 
 
 def binary_groups(files: DataFrame) -> DataFrame:
@@ -25,8 +25,8 @@ def binary_groups(files: DataFrame) -> DataFrame:
 
 def binary_members(files: DataFrame, groups: DataFrame) -> DataFrame:
     """(group_id, size, sha256, book_id, format, path): the distinct members of binary groups."""
-    each = files.select("size", "sha256", "book_id", "format", "path").distinct()
-    return dealt_join(each, groups.select("size", "sha256", "group_id"), ["size", "sha256"], F.struct("book_id", "path")).select("group_id", "size", "sha256", "book_id", "format", "path")
+    each, keys = files.select("size", "sha256", "book_id", "format", "path").distinct(), ["size", "sha256"]
+    return dealt_join(each, groups.select(*keys, "group_id"), keys, F.struct("book_id", "path"), groups.select(*keys, F.col("member_count").alias("_n")), HOT_ROWS).select("group_id", "size", "sha256", "book_id", "format", "path")
 
 
 def identities(books: DataFrame, authors: DataFrame, incomplete: DataFrame | None = None) -> DataFrame:
@@ -49,8 +49,8 @@ def metadata_groups(identity: DataFrame) -> DataFrame:
 
 def metadata_members(identity: DataFrame, groups: DataFrame) -> DataFrame:
     """(group_id, book_id): the records of metadata groups."""
-    each = identity.select("title_key", "author_keys", "book_id").distinct()
-    return dealt_join(each, groups.select("title_key", "author_keys", "group_id"), ["title_key", "author_keys"], F.col("book_id")).select("group_id", "book_id")
+    each, keys = identity.select("title_key", "author_keys", "book_id").distinct(), ["title_key", "author_keys"]
+    return dealt_join(each, groups.select(*keys, "group_id"), keys, F.col("book_id"), groups.select(*keys, F.col("member_count").alias("_n")), HOT_ROWS).select("group_id", "book_id")
 
 
 def all_in_one_group(candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,20 +1,16 @@
-"""Joins that a hot key cannot gather into one task, and connected components."""
+"""Connected components, in joins that neither a star's hub nor a large component gathers into one task."""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, functions as F
+from ..operators.skew import dealt_join, piece
+from ._store import release, written
 
-from ._store import written
 
-
-def dealt_join(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 32) -> DataFrame:
-    """`rows` joined to `small` (unique by `keys`), each key dealt to `salts` tasks; `small` must be small against `rows`."""
-    copies = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_of"))
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)]) & (F.col("_salt") == F.col("_salt_of"))
-    return dealt.join(copies, on, how).drop("_salt", "_salt_of", *[f"_k{i}" for i in range(len(keys))])
+def tally(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _n): rows of each key, as dealt_join takes them."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,15 +18,21 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels spread along links and then jump to their label's label, so the rounds
     grow with the logarithm of the longest path.  Each round is a table in the
-    shared folder; only its count of changes reaches the driver.
+    shared folder; only counts reach the driver.  No links, no rows.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), compact=True)
-    labels = written(edges.groupBy(F.col("a").alias("doc")).agg(F.least(F.col("doc"), F.min("b")).alias("comp")), compact=True)
+    edges = written(links.select(F.col("a").alias("doc"), "b").unionByName(links.select(F.col("b").alias("doc"), F.col("a").alias("b"))).where("doc <> b").distinct(), compact=True)
+    degrees = tally(edges, ["doc"])
+    labels = written(edges.groupBy("doc").agg(F.least(F.col("doc"), F.min("b")).alias("comp")), compact=True)
+    per_edge, per_node = piece(edges.count()), piece(labels.count())
     while True:
-        near = edges.join(labels, edges.a == labels.doc).groupBy(F.col("b").alias("doc")).agg(F.min("comp").alias("near"))
+        near = dealt_join(edges, labels, ["doc"], F.col("b"), degrees, per_edge).groupBy(F.col("b").alias("doc")).agg(F.min("comp").alias("near"))
         nearer = labels.join(near, "doc", "left").select("doc", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        target = labels.select(F.col("doc").alias("_doc"), F.col("comp").alias("_comp"))
-        jumped = written(nearer.join(target, nearer.comp == target._doc, "left").select("doc", "old", F.least("comp", "_comp").alias("comp")), compact=True)
+        target = labels.select(F.col("doc").alias("comp"), F.col("comp").alias("_next"))
+        jumped = dealt_join(nearer, target, ["comp"], F.col("doc"), tally(nearer, ["comp"]), per_node, "left")
+        jumped = written(jumped.select("doc", "old", F.least("comp", "_next").alias("comp")), compact=True)
         if not jumped.where("comp <> old").limit(1).count():
+            release(jumped, edges)
             return labels
+        release(labels)
         labels = jumped.select("doc", "comp")
+        labels.stored_at = jumped.stored_at

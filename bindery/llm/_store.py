@@ -9,16 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; only where that is unset, as in tests, a folder of our own."""
+    """spark.checkpoint.dir of the session.
+
+    Where it is unset, a folder of our own, but only if driver and executors are one
+    process (master local): elsewhere executors would write to their own disks and a
+    table read back would lack rows, so that is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="bindery-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def written(frame: DataFrame, compact: bool = False, **options: str) -> DataFrame:
-    """The frame, written as Parquet in the shared folder and read again; removed when the session's JVM ends.
+    """The frame, written as Parquet in the shared folder and read again; removed by `release` or when the session's JVM ends.
 
     `compact`, for tables of few bytes a row and many partitions: at most four files a core.
     """
@@ -27,7 +39,15 @@ def written(frame: DataFrame, compact: bool = False, **options: str) -> DataFram
         frame = frame.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark).rstrip('/')}/bindery-{uuid.uuid4().hex}"
     frame.write.options(**options).parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(frame.schema).parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove tables that `written` made and that no plan still to run reads."""
+    for frame in frames:
+        files, place = _place(frame.sparkSession, frame.stored_at)
+        files.delete(place, True)

@@ -8,8 +8,14 @@
 3. Links give components.  Buckets that hold several components are compared
    again, only across components: first sketches, in blocks of a bucket, which
    gives clusters of components that may be similar; then full sets, in blocks of
-   a cluster.  So every two texts that share a band are either in one component
-   or compared, at any bucket size, and blocks tell joining links, never pairs.
+   a cluster.  A block is packed once, as one row: its distinct shingles and each
+   document's numbers of them; texts do not travel to other blocks, and blocks of
+   a cluster's largest component are not compared with each other.  So every two
+   texts that share a band are either in one component or compared, at any bucket
+   size, and blocks tell joining links, never pairs.
+
+Joins deal a key with many rows (a bucket, a leader, a component, a group of
+copies) to as many tasks as its rows ask for.
 
 Two sets at the limit of 0.8 share no band with odds of 1.4e-7, and the estimate
 misses them by its margin of five deviations with odds below 1e-6.  Full sets
@@ -25,15 +31,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import _setsketch as S
+from ..operators.skew import dealt_join, piece
+from . import _chunks as C, _setsketch as S
 from ._labelled import batches
-from ._skew import components, dealt_join
-from ._store import written
-from ._text import Words, column_bytes, mix, pair, runs, windows
+from ._skew import components, tally
+from ._store import release, written
+from ._text import Words, column_bytes, mix, pack_sorted, pair, runs, unpack_sorted, windows
 
 BLOCK = 128  # documents a side of a comparison of full sets
 SKETCH_BLOCK = 1024
 CLUSTER_BLOCK = 256
+CLUSTER_SHINGLES = 1 << 19
 MARGIN = 5.0
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
 
@@ -177,15 +185,33 @@ def _verify(width: int, percent: int):
     return run
 
 
-def _verify_cluster(width: int, percent: int):
+def _pack_block(width: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One row of a block's documents: their sets as numbers of the block's distinct shingles, which near copies mostly share."""
+        found, size = _sets(table, width)
+        known, number = np.unique(found, return_inverse=True)
+        ids, comp = (table[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("doc_id", "comp"))
+        blob = C.join_parts(pack_sorted(known), *(C.pack_plain(x) for x in (number.astype(np.uint64), size.astype(np.uint64), ids, comp)))
+        return pa.table({c: table[c].slice(0, 1) for c in ("g", "block", "nj", "nl")} | {"blob": pa.array([blob], pa.binary())})
+
+    return run
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    known, *rest = C.split_parts(blob)
+    number, size, ids, comp = (C.unpack_plain(x) for x in rest)
+    return unpack_sorted(known)[number.astype(np.int64)], size.astype(np.int64), ids.view(np.int64), comp.view(np.int64)
+
+
+def _verify_blocks(percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Links (a, b) that join the components of two blocks of a cluster (or of one with itself) by similar documents."""
-        rows, queries = (table.filter(pc.equal(table["role"], k)) for k in (0, 1))
-        queries = rows if table["i"][0].as_py() == table["j"][0].as_py() else queries
+        blobs = table.sort_by("block")["blob"].to_pylist()
         out = _Union()
-        if rows.num_rows and queries.num_rows:
-            ids, query_ids, comp, query_comp = (t[c].to_numpy() for c in ("doc_id", "comp") for t in (rows, queries))
-            for q, linked in _similar(*_sets(rows, width), *_sets(queries, width), percent):
+        if len(blobs) == 2 or table["i"][0].as_py() == table["j"][0].as_py():
+            held, size, ids, comp = _unpacked(blobs[0])
+            asked, asked_size, query_ids, query_comp = _unpacked(blobs[-1])
+            for q, linked in _similar(held, size, asked, asked_size, percent):
                 linked &= query_comp[q : q + len(linked), None] != comp[None, :]
                 for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
                     out.link(int(query_comp[q + i]), int(comp[j]), int(query_ids[q + i]), int(ids[j]))
@@ -194,11 +220,6 @@ def _verify_cluster(width: int, percent: int):
     return run
 
 
-def _verified(texts: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) found in groups of (group, row block, query block, role, doc_id)."""
-    return asked.join(texts, "doc_id").groupBy("g", "i", "j").applyInArrow(_verify(width, percent), "a long, b long").where("a <> b")
-
-
 def _across(limit: float):
     least = limit - _deviation(limit)
     shared = int((limit - 2 * _deviation(limit)) * S.M)  # far below what the estimate lets through
@@ -248,42 +269,60 @@ def _one(n: str, salt: int) -> Column:
 def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc, comp) of every node that has a link; nodes are sketches, one per distinct set."""
     limit = percent / 100
-    sketch = nodes.select(F.col("doc_id").alias("_doc"), "n_shingles", "registers")
+    sketch = nodes.select("doc_id", "n_shingles", "registers")
     bands = nodes.select("doc_id", "registers").mapInArrow(_bands, "key long, doc long")
-    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc")).alias("least")).where("n > 1").select("key", F.col("least.doc").alias("leader"))
-    members = written(dealt_join(bands, buckets, ["key"], F.col("doc"), "inner", salts=16))
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc")).alias("least")).where("_n > 1")
+    buckets = written(buckets.select("key", "_n", F.col("least.doc").alias("leader")), compact=True)
+    rows = piece(buckets.agg(F.sum("_n")).first()[0] or 0)
+    members = written(dealt_join(bands, buckets.drop("_n"), ["key"], F.col("doc"), buckets.select("key", "_n"), rows))
 
     # every member and its bucket's leader
-    pairs = members.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-    with_a = pairs.join(sketch, pairs.a == sketch._doc).select("a", "b", F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
-    with_b = with_a.join(sketch, with_a.b == sketch._doc).select("a", "b", "na", "ra", F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    near = written(with_b.mapInArrow(_likely(limit), "a long, b long"), compact=True)
-    many = near.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", _blocks("n", BLOCK).alias("nj"))
-    queries = dealt_join(near, many.where("nj > 1"), ["b"], F.col("a")).select(F.col("b").alias("g"), F.lit(0).alias("i"), F.pmod(F.xxhash64(F.lit(1), "a"), F.coalesce("nj", F.lit(1))).cast("int").alias("j"), F.lit(1).alias("role"), F.col("a").alias("doc_id"))
-    leaders = many.select(F.col("b").alias("g"), F.lit(0).alias("i"), _all("nj").alias("j"), F.lit(0).alias("role"), F.col("b").alias("doc_id"))
-    found = written(_verified(texts, queries.unionByName(leaders), width, percent), compact=True)
+    pairs = written(members.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), compact=True)
+    with_a = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra")), "a")
+    leaders = sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb")).join(pairs.select("b").distinct(), "b", "left_semi")
+    with_b = dealt_join(with_a, leaders, ["b"], F.col("a"), tally(pairs, ["b"]), piece(pairs.count()))
+    near = written(with_b.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(_likely(limit), "a long, b long"), compact=True)
+    many = written(tally(near, ["b"]), compact=True)
+    nj = _blocks("_n", BLOCK)
+    dealt = dealt_join(near, many.select("b", nj.alias("nj")), ["b"], F.col("a"), many, piece(near.count()))
+    queries = dealt.select(F.col("b").alias("g"), F.pmod(F.xxhash64(F.lit(1), "a"), F.col("nj")).cast("int").alias("j"), F.lit(1).alias("role"), F.col("a").alias("doc_id")).join(texts, "doc_id")
+    asked = many.join(texts, F.col("b") == F.col("doc_id")).select("doc_id", F.col("b").alias("g"), _all(nj).alias("j"), F.lit(0).alias("role"), "text")
+    verified = queries.unionByName(asked).groupBy("g", "j").applyInArrow(_verify(width, percent), "a long, b long").where("a <> b")
+    found = written(verified, compact=True)
     labels = components(found)
+    release(pairs, near, many)
 
     # buckets that still hold several components
     placed = members.join(labels, "doc", "left").select("key", "doc", F.coalesce("comp", "doc").alias("comp"))
-    shares = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    open_keys = shares.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("rows")).where("rows > most.n")
-    open_keys = written(open_keys.select("key", F.col("most.comp").alias("largest"), _blocks("rows", SKETCH_BLOCK).alias("ni"), F.ceil((F.col("rows") - F.col("most.n")) / SKETCH_BLOCK).cast("int").alias("nj")), compact=True)
-    held = dealt_join(placed, open_keys, ["key"], F.col("doc"), "inner", salts=16).join(sketch, F.col("doc") == F.col("_doc")).withColumnRenamed("doc", "doc_id")
+    shares = tally(placed, ["key", "comp"])
+    open_keys = shares.groupBy("key").agg(F.max(F.struct("_n", "comp")).alias("most"), F.sum("_n").alias("_n")).where("_n > most._n")
+    open_keys = written(open_keys.select("key", "_n", F.col("most.comp").alias("largest"), _blocks("_n", SKETCH_BLOCK).alias("ni"), F.ceil((F.col("_n") - F.col("most._n")) / SKETCH_BLOCK).cast("int").alias("nj")), compact=True)
+    held = dealt_join(placed, open_keys.drop("_n"), ["key"], F.col("doc"), open_keys.select("key", "_n"), rows).withColumnRenamed("doc", "doc_id").join(sketch, "doc_id")
     columns = ["key", "i", "j", "role", "doc_id", "comp", "n_shingles", "registers"]
-    rows = held.withColumn("i", _one("ni", 2)).withColumn("j", _all("nj")).withColumn("role", F.lit(0)).select(*columns)
+    told = held.withColumn("i", _one("ni", 2)).withColumn("j", _all("nj")).withColumn("role", F.lit(0)).select(*columns)
     asking = held.where("comp <> largest").withColumn("j", _one("nj", 3)).withColumn("i", _all("ni")).withColumn("role", F.lit(1)).select(*columns)
-    across = rows.unionByName(asking).groupBy("key", "i", "j").applyInArrow(_across(limit), "a long, b long")
+    across = told.unionByName(asking).groupBy("key", "i", "j").applyInArrow(_across(limit), "a long, b long")
     clusters = components(across.distinct()).select(F.col("doc").alias("comp"), F.col("comp").alias("cluster"))
 
-    # full sets: the documents of a cluster of components, block against block
-    parts = labels.select(F.col("comp").alias("_comp"), F.col("doc").alias("_doc"))
-    held = written(clusters.join(parts, F.col("comp") == F.col("_comp"), "left").select("cluster", "comp", F.coalesce("_doc", "comp").alias("doc_id")), compact=True)
-    sizes = held.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", _blocks("n", CLUSTER_BLOCK).alias("nb"))
-    dealt = dealt_join(held, sizes, ["cluster"], F.col("doc_id"), "inner").withColumn("own", _one("nb", 4)).withColumn("other", _all("nb"))
-    dealt = dealt.select(F.col("cluster").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("role"), "doc_id", "comp")
-    more = dealt.join(texts, "doc_id").groupBy("g", "i", "j").applyInArrow(_verify_cluster(width, percent), "a long, b long")
-    return components(found.unionByName(more))
+    # full sets of a cluster's documents, block against block, but for the largest component with itself
+    sizes = tally(labels, ["comp"])
+    parts = dealt_join(labels, clusters, ["comp"], F.col("doc"), sizes, piece(labels.count())).select("cluster", "comp", F.col("doc").alias("doc_id"))
+    alone = clusters.join(sizes, "comp", "left_anti").select("cluster", "comp", F.col("comp").alias("doc_id"))
+    held = written(parts.unionByName(alone).join(nodes.select("doc_id", "n_shingles"), "doc_id"), compact=True)
+    each = held.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("w"))
+    most = each.groupBy("cluster").agg(F.max(F.struct("_n", "comp", "w")).alias("most"), F.sum("_n").alias("_n"), F.sum("w").alias("w"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / CLUSTER_BLOCK, w / CLUSTER_SHINGLES)).cast("int")
+    most = written(most.select("cluster", "_n", F.col("most.comp").alias("largest"), blocks(F.col("_n") - F.col("most._n"), F.col("w") - F.col("most.w")).alias("nj"), blocks(F.col("most._n"), F.col("most.w")).alias("nl")), compact=True)
+    dealt = dealt_join(held, most.drop("_n"), ["cluster"], F.col("doc_id"), most.select("cluster", "_n"), piece(held.count()))
+    dealt = dealt.withColumn("block", F.when(F.col("comp") == F.col("largest"), F.col("nj") + _one("nl", 4)).otherwise(_one("nj", 4)))
+    dealt = dealt.select(F.col("cluster").alias("g"), "block", "nj", "nl", "doc_id", "comp").join(texts, "doc_id")
+    packed = dealt.groupBy("g", "block").applyInArrow(_pack_block(width), "g long, block int, nj int, nl int, blob binary")
+    others = F.explode(F.sequence(F.lit(0), F.col("nj") - 1 + F.when(F.col("block") < F.col("nj"), F.col("nl")).otherwise(0)))
+    packed = packed.withColumn("other", others).select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blob")
+    more = packed.groupBy("g", "i", "j").applyInArrow(_verify_blocks(percent), "a long, b long")
+    out = components(found.unionByName(more))
+    release(buckets, members, found, open_keys, held, most)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -301,11 +340,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(sketches(texts, width))
     prints = ["n_shingles", "print_a", "print_b"]
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    copies = found.where(linkable).groupBy(*prints).agg(F.min("doc_id").alias("same_as"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    placed = dealt_join(found.drop("registers"), copies, prints, F.col("doc_id")).withColumn("same_as", F.when(linkable, F.coalesce("same_as", "doc_id")))
-    placed = written(placed)
-    nodes = written(found.where(linkable).join(placed.where("same_as <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n_shingles", "registers"))
-    labels = links(nodes, texts, width, percent)
-    labels = labels.select(F.col("doc").alias("same_as"), "comp")
-    own = F.coalesce("comp", "same_as", "doc_id")
-    return placed.join(labels, "same_as", "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    rows = found.where(linkable)
+    per = piece(found.count())
+    copies = written(rows.groupBy(*prints).agg(F.min("doc_id").alias("same_as"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), compact=True)
+    placed = dealt_join(rows.drop("registers"), copies.drop("_n"), prints, F.col("doc_id"), copies.drop("same_as"), per, "left").select("doc_id", "n_shingles", F.coalesce("same_as", "doc_id").alias("same_as"))
+    placed = written(placed, compact=True)
+    nodes = written(rows.join(placed.where("same_as <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n_shingles", "registers"))
+    labels = links(nodes, texts, width, percent).withColumnRenamed("doc", "same_as")
+    own = F.coalesce("comp", "same_as")
+    linked = dealt_join(placed, labels, ["same_as"], F.col("doc_id"), tally(placed, ["same_as"]), per, "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    single = found.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(single)

@@ -1,7 +1,8 @@
 """Text chunks and hash shards: how the exact-match operators exchange hashes.
 
-Documents are dealt by their id into chunks of about CHUNK_BYTES of text.  A
-chunk sends each hash shard one row holding its distinct hashes, sorted and
+Documents are dealt by their id and a hash of their text into chunks of about
+CHUNK_BYTES of text, so an id that many rows share is spread as well; rows equal in
+both are dealt by their input partition.  A chunk sends each hash shard one row holding its distinct hashes, sorted and
 difference coded (3 to 6 bytes a hash instead of a 40-byte row); the shard
 decides, and answers each chunk with one row.  So a key that a third of all
 rows share costs one entry per chunk, never one per row, and no task gathers a
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 CHUNK_BYTES = 4 << 20
+TASK_BYTES = 64 << 20
 SHARD_VALUES = 1 << 20
 BLOBS = "_chunk long, _shard int, blob binary"
 
@@ -33,15 +35,21 @@ def shards_for(values: int) -> int:
 
 
 def chunked(docs: DataFrame, id_col: str, text: str, total: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, _keep0, ..., _chunk); only these columns travel."""
+    """(doc_id, text, _keep0, ..., _sub, _chunk); only these columns travel, and a task gets about TASK_BYTES.
+
+    `_sub` orders rows of one id: by a hash of their text, then by their input partition.
+    """
     n = max(16, math.ceil(total / CHUNK_BYTES))
+    tasks = max(min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), math.ceil(total / TASK_BYTES))
     kept = [F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *kept).withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *kept)
+    rows = rows.withColumn("_sub", F.expr("xxhash64(text) & -16777216L | spark_partition_id() & 16777215L"))
+    return rows.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "_sub"), F.lit(n))).repartition(tasks, "_chunk")
 
 
 def by_document(table: pa.Table) -> pa.Table:
-    """A chunk's rows in document order (null ids first; equal ids by text), which makes 'earlier' a row number."""
-    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+    """A chunk's rows in document order (null ids first; equal ids by `_sub`, then text), which makes 'earlier' a row number."""
+    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("_sub", "ascending"), ("text", "ascending")], null_placement="at_start"))
 
 
 def order_key(ids: pa.ChunkedArray) -> np.ndarray:

@@ -1,12 +1,17 @@
 """Line dedup: sharded minimal perfect hashes over distinct lines, probed instead of joined.
 
-Each shard owns a range of 64-bit line hashes and builds one LineIndex over its
-distinct lines: a minimal perfect hash (levels of bit arrays with ranks) that
-maps a line to a slot of compact arrays: a 16-bit fingerprint, the number of
-documents and the largest document.  Chunks of documents probe the arrays with
-their distinct line hashes, and learn which lines occur in enough documents.
-Two distinct lines of the corpus are confused with odds of about
-(lines squared) / 2**65.
+Each shard owns a range of 64-bit line hashes.  Its index is one row of a table: a
+LineIndex over the distinct lines that two documents or more hold, a minimal
+perfect hash (levels of bit arrays with ranks) that maps a line to a slot of
+compact arrays: a 48-bit fingerprint, the number of documents and the largest
+document.  Most lines of a corpus stand in one document and are not in the index;
+the fingerprint turns them away.
+
+`line_index` builds the table, `drop_lines` lets chunks of documents probe the
+arrays with their distinct line hashes and learn which lines to drop;
+`drop_common_lines` does both over one exchange of the texts.  A line that is not
+in the index is taken for one that is with odds of 2**-48; two distinct lines of the
+corpus are confused with odds of about (lines squared) / 2**65.
 """
 
 from __future__ import annotations
@@ -17,35 +22,57 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import _chunks as C
-from ._text import ASCII_LOWER, U64, column_bytes, mix, pack_sorted, span_hashes, unpack_sorted, word_spans
+from ._text import ASCII_LOWER, U64, column_bytes, mix, pack_sorted, runs, span_hashes, unpack_sorted, word_spans
 
 RESULT = "doc_id long, n_lines long, n_dropped long, kept_text string"
+INDEX = "_shard int, shards int, lines long, index binary"
+
+
+def _fingerprint(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits of a hash that the places in the levels do not depend on, as two arrays."""
+    other = mix(keys, 999)
+    return (other >> U64(48)).astype(np.uint16), (other >> U64(16)).astype(np.uint32)
 
 
 class LineIndex:
     """Immutable map from distinct 64-bit hashes to small arrays, without storing the hashes."""
 
     def __init__(self, keys: np.ndarray, count: np.ndarray, largest: np.ndarray):
-        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
-        rest, level, filled = keys, 0, 0
+        words, rest, level = [], keys, 0
         while len(rest):
             bits = max(64, 2 * len(rest) + 63 & ~63)
             place = mix(rest, 1000 + level) % U64(bits)
             alone = np.bincount(place.astype(np.int64), minlength=bits) == 1
-            words = np.packbits(alone, bitorder="little").view("<u8")
-            rank = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
-            self.levels.append((words, rank, filled))
-            filled += int(rank[-1])
+            words.append(np.packbits(alone, bitorder="little").view("<u8"))
             rest, level = rest[~alone[place.astype(np.int64)]], level + 1
             if level > 200:
                 raise ValueError("the keys of a LineIndex must be distinct")
-        self.fingerprint = np.zeros(filled, np.uint16)
-        self.count = np.zeros(filled, np.uint32)
-        self.largest = np.zeros(filled, np.uint64)
+        self._ranked(words)
         slot = self._slots(keys)
-        self.fingerprint[slot] = mix(keys, 999) >> U64(48)
+        self.high, self.low = np.zeros(self.filled, np.uint16), np.zeros(self.filled, np.uint32)
+        self.count, self.largest = np.zeros(self.filled, np.uint32), np.zeros(self.filled, np.uint64)
+        self.high[slot], self.low[slot] = _fingerprint(keys)
         self.count[slot], self.largest[slot] = count, largest
 
+    def _ranked(self, words: list[np.ndarray]) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.filled = 0
+        for w in words:
+            rank = np.concatenate([[0], np.cumsum(np.bitwise_count(w), dtype=np.int64)])
+            self.levels.append((w, rank, self.filled))
+            self.filled += int(rank[-1])
+
+    def to_bytes(self) -> bytes:
+        return C.join_parts(*(a.tobytes() for a in (self.high, self.low, self.count, self.largest)), *(w.tobytes() for w, _, _ in self.levels))
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> LineIndex:
+        self = cls.__new__(cls)
+        high, low, count, largest, *words = C.split_parts(blob)
+        self._ranked([np.frombuffer(w, "<u8") for w in words])
+        self.high, self.low, self.count, self.largest = np.frombuffer(high, "<u2"), np.frombuffer(low, "<u4"), np.frombuffer(count, "<u4"), np.frombuffer(largest, "<u8")
+        return self
+
     def _slots(self, probes: np.ndarray) -> np.ndarray:
         slot = np.full(len(probes), -1, np.int64)
         rest = np.arange(len(probes))
@@ -59,11 +86,12 @@ class LineIndex:
         return slot
 
     def lookup(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents that hold each line, and the largest of them; 0 for an unknown line (but for 1 in 65,536 of those)."""
-        if not len(self.count):
+        """Documents that hold each line, and the largest of them; 0 for an unknown line (but for one in 2**48 of those)."""
+        if not self.filled:
             return np.zeros(len(probes), np.uint32), np.zeros(len(probes), np.uint64)
         slot = self._slots(probes)
-        known = (slot >= 0) & (self.fingerprint[slot] == (mix(probes, 999) >> U64(48)).astype(np.uint16))
+        high, low = _fingerprint(probes)
+        known = (slot >= 0) & (self.high[slot] == high) & (self.low[slot] == low)
         return np.where(known, self.count[slot], 0), np.where(known, self.largest[slot], U64(0))
 
 
@@ -86,46 +114,64 @@ class _Lines:
         self.hash = span_hashes(ASCII_LOWER[self.data], begin[long], end[long])
 
 
-def _send(least: int, shards: int):
+def _send(least: int, documents: int, shards: int):
     def send(table: pa.Table) -> pa.Table:
-        table = C.by_document(table)
+        """To each shard, the chunk's distinct lines, and of each the `documents` largest ids that hold it: more do not matter."""
         lines = _Lines(table, least)
-        ids = C.order_key(table["doc_id"])[lines.doc[lines.keyed]]  # ascending
-        order = np.argsort(lines.hash, kind="stable")
+        ids = C.order_key(table["doc_id"])[lines.doc[lines.keyed]]
+        order = np.lexsort((ids, lines.hash))
         value, ids = lines.hash[order], ids[order]
         if not len(value):
             return C.blobs(0, [])
-        new = np.ones(len(value), bool)
+        new, other = np.ones((2, len(value)), bool)
         new[1:] = value[1:] != value[:-1]
-        other = new.copy()
-        other[1:] |= ids[1:] != ids[:-1]
+        other[1:] = new[1:] | (ids[1:] != ids[:-1])
+        value, ids, new = value[other], ids[other], new[other]
         first = np.flatnonzero(new)
-        count = np.add.reduceat(other.astype(np.uint64), first)
-        largest = ids[np.append(first[1:], len(ids)) - 1]
-        value = value[first]
-        rows = [(s, C.join_parts(pack_sorted(value[x]), C.pack_plain(count[x]), C.pack_plain(largest[x]))) for s, x in C.split_range(value, 64, shards)]
+        n = np.diff(first, append=len(value))
+        kept = np.minimum(n, documents)
+        ids = ids[np.repeat(first + n - kept, kept) + runs(kept)]
+        value, at = value[first], np.concatenate([[0], np.cumsum(kept)])
+        rows = [(s, C.join_parts(pack_sorted(value[x]), C.pack_plain(kept[x].astype(np.uint64)), C.pack_plain(ids[at[x.start] : at[x.stop]]))) for s, x in C.split_range(value, 64, shards)]
         return C.blobs(table["_chunk"][0].as_py(), rows)
 
     return send
 
 
-def _probe(documents: int):
-    def probe(table: pa.Table) -> pa.Table:
+def _build(shards: int):
+    def build(table: pa.Table) -> pa.Table:
         sent = [C.split_parts(b) for b in table["blob"].to_pylist()]
-        probes = [unpack_sorted(b[0]) for b in sent]
-        keys = np.concatenate(probes)
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        count = np.add.reduceat(np.concatenate([C.unpack_plain(b[1]) for b in sent])[order], first)
-        largest = np.maximum.reduceat(np.concatenate([C.unpack_plain(b[2]) for b in sent])[order], first)
-        index = LineIndex(keys[order][first], count, largest)
-        out, to, shard = [], [], table["_shard"][0].as_py()
-        for chunk, mine in zip(table["_chunk"].to_pylist(), probes, strict=True):
-            count, largest = index.lookup(mine)
-            common = count >= documents
-            if common.any():
-                out.append((shard, C.join_parts(pack_sorted(mine[common]), C.pack_plain(largest[common]))))
-                to.append(chunk)
+        n = np.concatenate([C.unpack_plain(b[1]) for b in sent]).astype(np.int64)
+        value = np.repeat(np.concatenate([unpack_sorted(b[0]) for b in sent]), n)
+        ids = np.concatenate([C.unpack_plain(b[2]) for b in sent])
+        order = np.lexsort((ids, value))
+        value, ids = value[order], ids[order]
+        new, other = np.ones((2, len(value)), bool)
+        new[1:] = value[1:] != value[:-1]
+        other[1:] = new[1:] | (ids[1:] != ids[:-1])
+        first = np.flatnonzero(new)
+        count = np.add.reduceat(other.astype(np.int64), first)
+        largest = ids[np.append(first[1:], len(ids)) - 1]
+        some = count > 1
+        index = LineIndex(value[first][some], count[some], largest[some])
+        return pa.table({"_shard": table["_shard"].slice(0, 1), "shards": pa.array([shards], pa.int32()), "lines": pa.array([index.filled], pa.int64()), "index": pa.array([index.to_bytes()], pa.binary())})
+
+    return build
+
+
+def _probe(documents: int):
+    def probe(sent: pa.Table, stored: pa.Table) -> pa.Table:
+        """Each chunk's lines that the shard's arrays know to stand in enough documents, and their largest holder."""
+        out, to = [], []
+        if sent.num_rows and stored.num_rows:
+            index, shard = LineIndex.from_bytes(stored["index"][0].as_py()), sent["_shard"][0].as_py()
+            for chunk, blob in zip(sent["_chunk"].to_pylist(), sent["blob"], strict=True):
+                mine = unpack_sorted(C.split_parts(blob.as_py())[0])
+                count, largest = index.lookup(mine)
+                common = count >= documents
+                if common.any():
+                    out.append((shard, C.join_parts(pack_sorted(mine[common]), C.pack_plain(largest[common]))))
+                    to.append(chunk)
         return C.blobs(0, out).set_column(0, "_chunk", pa.array(to, pa.int64()))
 
     return probe
@@ -163,6 +209,35 @@ def _drop(least: int, keep: int):
     return drop
 
 
+def _sent(texts: DataFrame, least: int, documents: int, shards: int) -> DataFrame:
+    return texts.groupBy("_chunk").applyInArrow(_send(least, documents, shards), C.BLOBS)
+
+
+def _dropped(docs: DataFrame, texts: DataFrame, sent: DataFrame, index: DataFrame, documents: int, least: int, keep: tuple[str, ...]) -> DataFrame:
+    common = sent.groupBy("_shard").cogroup(index.groupBy("_shard")).applyInArrow(_probe(documents), C.BLOBS)
+    schema = RESULT + "".join(f", _keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    return texts.groupBy("_chunk").cogroup(common.groupBy("_chunk")).applyInArrow(_drop(least, len(keep)), schema).withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})
+
+
+def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 3, least: int = 20) -> DataFrame:
+    """INDEX, one row per shard that has lines: the arrays over its lines, to be stored and probed.
+
+    Counts are exact up to `documents`, and at least that beyond.  An empty table, or
+    one without lines of `least` code points, gives no rows.
+    """
+    total = C.text_bytes(docs, text_col)
+    shards = C.shards_for(total // 64)
+    return _sent(C.chunked(docs, id_col, text_col, total), least, documents, shards).groupBy("_shard").applyInArrow(_build(shards), INDEX)
+
+
+def drop_lines(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 3, least: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`docs` without the lines that a stored index knows from `documents` documents, except in the largest of these; see drop_common_lines."""
+    one = index.select("shards").first()
+    total = C.text_bytes(docs, text_col)
+    texts = C.chunked(docs, id_col, text_col, total, keep)
+    return _dropped(docs, texts, _sent(texts, least, documents, one["shards"] if one else 1), index, documents, least, keep)
+
+
 def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", documents: int = 3, least: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines found in at least `documents` documents, except in the largest id that holds them.
 
@@ -177,8 +252,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whatever their names.
     """
     total = C.text_bytes(docs, text_col)
-    texts = C.chunked(docs, id_col, text_col, total, keep)
     shards = C.shards_for(total // 64)
-    sent = texts.groupBy("_chunk").applyInArrow(_send(least, shards), C.BLOBS)
-    common = sent.groupBy("_shard").applyInArrow(_probe(documents), C.BLOBS)
-    return texts.groupBy("_chunk").cogroup(common.groupBy("_chunk")).applyInArrow(_drop(least, len(keep)), RESULT + "".join(f", _keep{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))).withColumnsRenamed({f"_keep{i}": c for i, c in enumerate(keep)})
+    texts = C.chunked(docs, id_col, text_col, total, keep)
+    sent = _sent(texts, least, documents, shards)
+    index = sent.groupBy("_shard").applyInArrow(_build(shards), INDEX)
+    return _dropped(docs, texts, sent, index, documents, least, keep)

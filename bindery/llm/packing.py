@@ -1,6 +1,6 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in random groups.
 
-Documents are dealt by a hash of their id into groups of a few MB of text; each
+Documents are dealt by a hash of their id and text into groups of a few MB of text; each
 group is tokenised and packed by itself, in one task, in bounded memory.  What
 fills a sequence on its own is cut off first; first-fit decreasing places the
 rests.  Then the emptiest bins are cut up to fill the gaps of the others, and a
@@ -142,7 +142,8 @@ def pack_sequences(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc
     the id that closes each document.
 
     Null and empty texts are documents of one token.  Repeated rows are separate
-    documents under the same id.  Null ids stay null.  An empty table gives an
+    documents under the same id, dealt by text and input partition, so that no id is
+    one group.  Null ids stay null.  An empty table gives an
     empty result; other columns are ignored, whatever their names.
     """
     total = C.text_bytes(docs, text_col)

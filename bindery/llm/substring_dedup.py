@@ -106,23 +106,33 @@ def _send_windows(width: int, block: int, shards: int):
         order, first, _ = _runs_of(value)
         if not len(first):
             return C.blobs(0, [])
-        owner = C.order_key(table["doc_id"])[np.minimum.reduceat(words.doc[start][order], first)]
+        owner = np.minimum.reduceat(words.doc[start][order], first)
         value = value[order][first]
-        return C.blobs(table["_chunk"][0].as_py(), [(s, C.join_parts(pack_sorted(value[x]), C.pack_plain(owner[x]))) for s, x in C.split_range(value, 64, shards)])
+        ids, subs = C.order_key(table["doc_id"]), C.order_key(table["_sub"])
+        rows = []
+        for s, x in C.split_range(value, 64, shards):
+            docs, which = np.unique(owner[x], return_inverse=True)  # the owners are few: a list of them, and numbers
+            rows.append((s, C.join_parts(pack_sorted(value[x]), C.pack_plain(which.astype(np.uint64)), C.pack_plain(ids[docs]), C.pack_plain(subs[docs]))))
+        return C.blobs(table["_chunk"][0].as_py(), rows)
 
     return send
 
 
 def _not_first(table: pa.Table) -> pa.Table:
-    """To each chunk, the windows that start in an earlier document of another chunk."""
+    """To each chunk, the windows that start in an earlier document of another chunk; earlier by id, then by `_sub`."""
     chunks, sent = _gather(table)
     sent = [C.split_parts(b) for b in sent]
     parts = [unpack_sorted(b[0]) for b in sent]
-    owner = np.concatenate([C.unpack_plain(b[1]) for b in sent])
-    order, first, run = _runs_of(np.concatenate(parts))
-    least = np.minimum.reduceat(owner[order], first)
+    which = [C.unpack_plain(b[1]).astype(np.int64) for b in sent]
+    ids, subs = (np.concatenate([C.unpack_plain(b[k])[w] for b, w in zip(sent, which, strict=True)]) for k in (2, 3))
+    value = np.concatenate(parts)
+    order = np.lexsort((subs, ids, value))
+    value, ids, subs = value[order], ids[order], subs[order]
+    new = np.ones(len(value), bool)
+    new[1:] = value[1:] != value[:-1]
+    least = np.flatnonzero(new)[np.cumsum(new) - 1]
     chosen = np.empty(len(order), bool)
-    chosen[order] = owner[order] > least[run]
+    chosen[order] = (ids != ids[least]) | (subs != subs[least])
     return _answer(chunks, parts, chosen, table["_shard"][0].as_py())
 
 
@@ -178,8 +188,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans count words, `kept_text` joins the kept words by one space.
 
     Null or empty texts have no words and stay as empty texts.  A null id comes
-    before all others; rows with one id are ordered by their text, and rows equal
-    in both count as two documents of which the second repeats the first.  Texts
+    before all others; rows with one id are ordered by a hash of their text, and rows
+    equal in both count as two documents of which the second repeats the first.  Texts
     of fewer than `width` words have no window.  An empty table gives an empty
     result; other columns are ignored, whatever their names.
     """

@@ -2,8 +2,8 @@
 
 `index_media` walks the nested boxes of a file (32-bit, 64-bit and to-the-end
 sizes), decodes the sample tables of each track (stsd, stts, stsc, stsz or
-stz2, stco or co64, stss) and returns codec, duration and the byte ranges of
-the keyframes.  `write_media` stores bytes losslessly as 8-bit samples: frames
+stz2, stco or co64, stss), and those of movie fragments (tfhd, trun, under the
+defaults of trex), and returns codec, duration and the byte ranges of the keyframes.  `write_media` stores bytes losslessly as 8-bit samples: frames
 of 8 by 8 RGB pixels, 192 bytes each, uncompressed ('raw ').
 """
 
@@ -21,6 +21,7 @@ from ._labelled import batches
 FRAME = 192
 RATE = 25
 KEY_EVERY = 16
+BATCH_BYTES = 16 << 20
 CHUNK_FRAMES = 64
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"dinf", b"mvex", b"moof", b"traf"}
 TRACK = "struct<track_id:long,kind:string,codec:string,width:int,height:int,timescale:long,duration:long,seconds:double,samples:long,sample_bytes:long,keyframes:array<struct<sample:long,start:long,length:long>>>"
@@ -133,6 +134,88 @@ def sample_table(data: memoryview, table: dict) -> tuple[np.ndarray, np.ndarray,
     return position, size, keys[(keys >= 0) & (keys < len(size))]
 
 
+def _fields(data: memoryview, span: tuple[int, int], at: int, flags: int, names: list[tuple[int, str, str]]) -> tuple[dict, int]:
+    """The optional fields of a full box, in order: those whose bit is set; and where the next one begins."""
+    found = {}
+    for bit, name, kind in names:
+        if flags & bit:
+            found[name] = struct.unpack_from(kind, data, at)[0]
+            at += struct.calcsize(kind)
+    return found, at
+
+
+def fragment_samples(data: memoryview, top: list[tuple[int, dict]], track: int, extends: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(positions, sizes, sync samples from 0, duration) that the movie fragments of a file add to a track.
+
+    `top` has the place of each moof and its boxes.  Offsets count from tfhd's base,
+    or from the moof (its first run, also where no flag says so); a later run without
+    an offset follows the one before.  A sample is a sync sample unless its flags
+    say otherwise.
+    """
+    position, size, sync, duration = [], [], [], 0
+    for start, moof in top:
+        for traf in moof.get(b"traf", []):
+            if b"tfhd" not in traf:
+                continue
+            lo, hi = traf[b"tfhd"][0]
+            flags, number = struct.unpack_from(">II", data, lo)
+            if number != track:
+                continue
+            own, _ = _fields(data, (lo, hi), lo + 8, flags, [(1, "base", ">Q"), (2, "entry", ">I"), (8, "duration", ">I"), (16, "size", ">I"), (32, "flags", ">I")])
+            default = extends | own
+            base = next_at = own.get("base", start)
+            for lo, hi in traf.get(b"trun", []):
+                flags, n = struct.unpack_from(">II", data, lo)
+                flags &= 0xFFFFFF
+                run, at = _fields(data, (lo, hi), lo + 8, flags, [(1, "offset", ">i"), (4, "first", ">I")])
+                columns = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if flags & bit]
+                if columns:
+                    n = min(n, (hi - at) // (4 * len(columns)))
+                rows = np.frombuffer(data, ">u4", n * len(columns), at).astype(np.int64).reshape(n, len(columns)) if columns else np.empty((n, 0), np.int64)
+                column = lambda name, rows=rows, columns=columns, n=n, default=default: rows[:, columns.index(name)] if name in columns else np.full(n, default.get(name, 0), np.int64)
+                sizes, marks = column("size"), column("flags").copy()
+                if n and "first" in run and "flags" not in columns:
+                    marks[0] = run["first"]
+                first = base + run["offset"] if "offset" in run else next_at
+                position.append(first + np.cumsum(sizes) - sizes)
+                next_at = first + int(sizes.sum())
+                size.append(sizes)
+                sync.append(marks >> 16 & 1 == 0)
+                duration += int(column("duration").sum())
+    if not size:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
+    return np.concatenate(position), np.concatenate(size), np.flatnonzero(np.concatenate(sync)), duration
+
+
+def track_samples(data: memoryview, top: list[tuple[int, dict]], movie: dict, number: int, table: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Positions, sizes and sync samples of a track, from its tables and then its fragments, and what these add to its duration."""
+    position, size, keys = sample_table(data, table)
+    if not top:
+        return position, size, keys, 0
+    extends = {}
+    for lo, _ in movie.get(b"mvex", [{}])[0].get(b"trex", []):
+        if struct.unpack_from(">I", data, lo + 4)[0] == number:
+            extends = dict(zip(("entry", "duration", "size", "flags"), struct.unpack_from(">4I", data, lo + 8), strict=True))
+    more = fragment_samples(data, top, number, extends)
+    return np.concatenate([position, more[0]]), np.concatenate([size, more[1]]), np.concatenate([keys, more[2] + len(size)]), more[3]
+
+
+def _fragments(data: memoryview) -> list[tuple[int, dict]]:
+    found, at = [], 0
+    for kind, lo, hi in walk(data):
+        if kind == b"moof":
+            found.append((at, boxes(data, lo, hi)))
+        at = hi
+    return found
+
+
+def _number(data: memoryview, trak: dict) -> int:
+    if b"tkhd" not in trak:
+        return 0
+    lo = trak[b"tkhd"][0][0]
+    return struct.unpack_from(">I", data, lo + (20 if data[lo] == 1 else 12))[0]
+
+
 def _times(data: memoryview, span: tuple[int, int]) -> tuple[int, int]:
     """Timescale and duration of an mvhd or mdhd box."""
     return struct.unpack_from(">IQ", data, span[0] + 20) if data[span[0]] == 1 else struct.unpack_from(">II", data, span[0] + 12)
@@ -141,7 +224,7 @@ def _times(data: memoryview, span: tuple[int, int]) -> tuple[int, int]:
 def tracks(media: bytes) -> list[dict]:
     """What TRACK says of each track; a track without tables has no samples, bytes that are no ISO media have no tracks."""
     data = memoryview(media).cast("B")
-    out = []
+    out, top = [], _fragments(data)
     for movie in boxes(data).get(b"moov", []):
         for trak in movie.get(b"trak", []):
             mdia = trak.get(b"mdia", [{}])[0]
@@ -156,11 +239,10 @@ def tracks(media: bytes) -> list[dict]:
                 if kind == "vide" and hi - lo >= 28:
                     width, height = struct.unpack_from(">HH", data, lo + 24)
                 break
-            position, size, keys = sample_table(data, table)
-            number = 0
-            if b"tkhd" in trak:
-                lo = trak[b"tkhd"][0][0]
-                number = struct.unpack_from(">I", data, lo + (20 if data[lo] == 1 else 12))[0]
+            number = _number(data, trak)
+            position, size, keys, more = track_samples(data, top, movie, number, table)
+            if more:  # the header tells the duration of the whole only where there are no fragments
+                duration = more + (duration if b"stts" in table and _table(data, table[b"stts"][0], 2).any() else 0)
             out.append({"track_id": number, "kind": kind, "codec": codec, "width": width, "height": height, "timescale": scale, "duration": duration, "seconds": duration / scale if scale else 0.0, "samples": len(size), "sample_bytes": int(size.sum()), "keyframes": [{"sample": int(k), "start": int(position[k]), "length": int(size[k])} for k in keys]})
     return out
 
@@ -168,8 +250,9 @@ def tracks(media: bytes) -> list[dict]:
 def read_samples(media: bytes, track: int = 0) -> bytes:
     """The bytes of a track's samples, in order, found through its tables."""
     data = memoryview(media).cast("B")
-    table = boxes(data)[b"moov"][0][b"trak"][track][b"mdia"][0][b"minf"][0][b"stbl"][0]
-    position, size, _ = sample_table(data, table)
+    movie = boxes(data)[b"moov"][0]
+    trak = movie[b"trak"][track]
+    position, size, _, _ = track_samples(data, _fragments(data), movie, _number(data, trak), trak[b"mdia"][0][b"minf"][0][b"stbl"][0])
     if not len(size):
         return b""
     cut = np.flatnonzero(position[1:] != position[:-1] + size[:-1]) + 1  # neighbours in one read
@@ -187,7 +270,8 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, n_bytes, media): each whole text, padded, as an ISO media file.
 
     A null or empty text is one frame of spaces; rows are independent of each
-    other, so repeated rows give repeated rows; null ids stay null.
+    other, so repeated rows give repeated rows; null ids stay null.  An empty table
+    gives an empty result; other columns are ignored, whatever their names.
     """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,23 +287,27 @@ def index_media(files: DataFrame, media_col: str = "media", keep: tuple[str, ...
     """The columns `keep`, `tracks` (array of TRACK), and with `samples` the first track's bytes as `payload`.
 
     Null, empty or broken files have no tracks and no payload (an empty array, a null).
+    One row per row, so repeated rows repeat and an empty table stays empty; columns
+    that are not kept are ignored.  `keep` must not name `tracks`, `payload` or `_media`.
     """
     rows = files.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{media_col}`").alias("_media"))
     fields = rows.drop("_media").schema.fields
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            found, payloads = [], []
-            for media in part["_media"]:
-                media = media.as_buffer()
-                try:
-                    found.append(tracks(media) if media else [])
-                    payloads.append(read_samples(media) if samples and found[-1] else None)
-                except (struct.error, ValueError, IndexError, KeyError, TypeError):
-                    found.append([])
-                    payloads.append(None)
-            out = {f.name: part[f.name] for f in fields} | {"tracks": pa.array(found, _TRACKS)} | ({"payload": pa.array(payloads, pa.binary())} if samples else {})
-            yield pa.RecordBatch.from_pydict(out)
+        for whole in parts:
+            for lo, hi in batches(whole["_media"], BATCH_BYTES):
+                part = whole.slice(lo, hi - lo)
+                found, payloads = [], []
+                for media in part["_media"]:
+                    media = media.as_buffer()
+                    try:
+                        found.append(tracks(media) if media else [])
+                        payloads.append(read_samples(media) if samples and found[-1] else None)
+                    except (struct.error, ValueError, IndexError, KeyError, TypeError):
+                        found.append([])
+                        payloads.append(None)
+                out = {f.name: part[f.name] for f in fields} | {"tracks": pa.array(found, _TRACKS)} | ({"payload": pa.array(payloads, pa.binary())} if samples else {})
+                yield pa.RecordBatch.from_pydict(out)
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields) + f"tracks array<{TRACK}>" + (", payload binary" if samples else "")
     return rows.mapInArrow(run, schema)

@@ -22,7 +22,12 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.skew import dealt_join, piece
+from ._store import written
+
 ARCHIVE_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
+PIECE_BYTES = 32 << 10
 ARCHIVES = "archive string, data binary"
 RECORD = "archive string, position long, record_id string, record_type string, uri string, date string, ip string, content_type string, http_head binary, payload binary, payload_bytes long, payload_digest string, key long"
 READ = "archive string, record_id string, record_type string, uri string, date string, content_type string, payload binary, payload_bytes long, payload_digest string, block_digest string, key long, refers_to_id string, refers_to long"
@@ -40,16 +45,66 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def _inflate(data: bytes) -> bytes:
-    """All gzip members of a file, or the file itself when it is not compressed."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
+class _Stream:
+    """Bytes of a file from the front, whatever gzip members it has; what was taken is let go, so no whole archive is unpacked."""
+
+    def __init__(self, data: bytes | pa.Buffer):
+        self.rest, self.at, self.position = memoryview(data).cast("B"), 0, 0
+        self.member = zlib.decompressobj(31) if bytes(self.rest[:2]) == b"\x1f\x8b" else None
+        self.ready = bytearray()
+
+    def _more(self) -> bool:
+        """Unpack a little more into `ready`; False at the end."""
+        if self.at >= len(self.rest):
+            return False
+        if self.member is None:
+            self.ready += self.rest[self.at : self.at + PIECE_BYTES]
+            self.at += PIECE_BYTES
+            return True
+        piece = self.rest[self.at : self.at + PIECE_BYTES]
+        self.ready += self.member.decompress(piece, 32 * PIECE_BYTES)
+        self.at += len(piece) - len(self.member.unconsumed_tail)
+        if self.member.eof:  # the next member, or bytes behind the last one
+            self.at -= len(self.member.unused_data)
+            self.member = zlib.decompressobj(31)
+            if bytes(self.rest[self.at : self.at + 2]) != b"\x1f\x8b":
+                self.at = len(self.rest)
+        return True
+
+    def _drop(self, n: int) -> bytes:
+        out = bytes(self.ready[:n])
+        del self.ready[:n]
+        self.position += len(out)
+        return out
+
+    def skip(self, blanks: bytes) -> bool:
+        """Past any of these bytes; False at the end of the file."""
+        while True:
+            n = 0
+            while n < len(self.ready) and self.ready[n] in blanks:
+                n += 1
+            self._drop(n)
+            if self.ready:
+                return True
+            if not self._more():
+                return False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before the next `mark`, which is passed; None where there is no more of it."""
+        seen = 0
+        while (at := self.ready.find(mark, max(0, seen - len(mark)))) < 0:
+            seen = len(self.ready)
+            if not self._more():
+                return None
+        out = self._drop(at)
+        self._drop(len(mark))
+        return out
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes, or as many as are left."""
+        while len(self.ready) < n and self._more():
+            pass
+        return self._drop(n)
 
 
 def arc_bytes(name: str, version: str, rows: list[tuple[str, str, str, str, bytes]]) -> bytes:
@@ -71,29 +126,27 @@ def arc_bytes(name: str, version: str, rows: list[tuple[str, str, str, str, byte
     return b"".join(out)
 
 
-def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(position, header fields, content) of each record after the version block.
+def arc_records(data: bytes | pa.Buffer) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(position, header fields, content) of each record after the version block of a file, plain or gzipped.
 
     A header line is split by the fields that the version block declares.  A line
     that does not fit them, or a declared length beyond the file, ends the archive
     with a ValueError: what follows cannot be found.
     """
-    at, fields = 0, ARC_FIELDS["1"]
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-            continue
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r")
+    stream, fields = _Stream(data), ARC_FIELDS["1"]
+    while stream.skip(b"\r\n"):
+        at = stream.position
+        found = stream.until(b"\n")
+        line = (found or b"").decode("utf-8", "replace").rstrip("\r")
         first = line.startswith("filedesc:")
         parts = line.split(" ")
         names = ARC_FIELDS["2"] if first and len(parts) == 10 else ARC_FIELDS["1"] if first else fields
         if len(parts) > len(names):  # blanks in an unescaped URL
             parts = [" ".join(parts[: len(parts) - len(names) + 1]), *parts[len(parts) - len(names) + 1 :]]
-        if end < 0 or len(parts) != len(names) or not parts[-1].isdigit():
+        if found is None or len(parts) != len(names) or not parts[-1].isdigit():
             raise ValueError(f"no ARC header line at {at}")
         size = int(parts[-1])
-        content = data[end + 1 : end + 1 + size]
+        content = stream.take(size)
         if len(content) != size:
             raise ValueError(f"the record at {at} declares {size} bytes, {len(content)} are left")
         if first:
@@ -102,7 +155,6 @@ def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             fields = lines[1].split() if len(lines) > 1 and lines[1].startswith("URL") else ARC_FIELDS.get(version, names)
         else:
             yield at, dict(zip(names, parts, strict=True)), content
-        at = end + 1 + size
 
 
 def iso_date(date: str) -> str:
@@ -139,16 +191,20 @@ def record_from_arc(archive: str, at: int, fields: dict[str, str], content: byte
     }
 
 
-def _rows(parts: Iterator[pa.RecordBatch], schema: pa.Schema, one, size: int = 256) -> Iterator[pa.RecordBatch]:
+def _rows(parts: Iterator[pa.RecordBatch], schema: pa.Schema, one, size: int = 256, held_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of all archives, in batches of at most `size` rows and, but for a single larger row, `held_bytes` of payload."""
     held: list[dict] = []
+    filled = 0
     for part in parts:
         for archive, data in zip(part["archive"], part["data"], strict=True):
             if data.is_valid:
-                for row in one(archive.as_py(), data.as_py()):
-                    held.append(row)
-                    if len(held) >= size:
+                for row in one(archive.as_py(), data.as_buffer()):
+                    more = len(row["payload"] or b"")
+                    if held and (len(held) >= size or filled + more > held_bytes):
                         yield pa.RecordBatch.from_pylist(held, schema)
-                        held = []
+                        held, filled = [], 0
+                    held.append(row)
+                    filled += more
     if held:
         yield pa.RecordBatch.from_pylist(held, schema)
 
@@ -159,9 +215,14 @@ def _schema(ddl: str) -> pa.Schema:
 
 
 def read_arcs(archives: DataFrame) -> DataFrame:
-    """RECORD rows of ARC files (archive, data), plain or gzipped; null data has none."""
+    """RECORD rows of ARC files (archive, data), plain or gzipped.
+
+    Null or empty data has none, so an empty table gives an empty result; equal rows
+    are each read; other columns are ignored, whatever their names.  A record is held
+    whole (up to 2 GB, Arrow's limit for a value), an archive is not.
+    """
     schema = _schema(RECORD)
-    one = lambda archive, data: (record_from_arc(archive, *r) for r in arc_records(_inflate(data)))
+    one = lambda archive, data: (record_from_arc(archive, *r) for r in arc_records(data))
     return archives.select("archive", "data").mapInArrow(lambda parts: _rows(parts, schema, one), RECORD)
 
 
@@ -203,23 +264,25 @@ def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return rows.mapInArrow(run, ARCHIVES)
 
 
-def mark_revisits(records: DataFrame, least: int = 0, salts: int = 64) -> DataFrame:
+def mark_revisits(records: DataFrame, least: int = 0) -> DataFrame:
     """`records` with `refers_to` (key, record_id, uri, date), null for a record that keeps its payload.
 
     Of the records with equal payloads of at least `least` bytes the one with the
     smallest (key, record_id) is kept; rows that repeat that key and payload are
     kept too.  Records without a key come last, by their id.  Equal payloads meet
-    as one row per task and digest; the answer goes back by (digest, salt), so a
-    payload that a third of all records share is dealt to `salts` tasks.
+    as one row per task and digest; the answer goes back by digest, and a payload
+    that many records share is dealt to as many tasks as they ask for.  An empty
+    table stays empty; other columns are kept, but for names that start with `_`.
     """
     rank = F.struct(F.col("key").isNull().alias("unkeyed"), "key", "record_id", "uri", "date")
-    groups = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    targets = groups.select(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), "kept", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt_of"))
-    dealt = records.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int"))
-    joined = dealt.join(targets, (F.col("payload_digest") == F.col("_digest")) & (F.col("payload_bytes") == F.col("_bytes")) & (F.col("_salt") == F.col("_salt_of")), "left")
-    same = (F.col("kept.record_id") == F.col("record_id")) | F.coalesce(F.col("kept.key") == F.col("key"), F.lit(False))
-    target = F.struct(F.col("kept.key").alias("key"), F.col("kept.record_id").alias("record_id"), F.col("kept.uri").alias("uri"), F.col("kept.date").alias("date"))
-    return joined.withColumn("refers_to", F.when(F.col("kept").isNotNull() & ~same, target)).drop("_digest", "_bytes", "_salt_of", "_salt", "kept")
+    same = ["payload_digest", "payload_bytes"]
+    groups = records.where(F.col("payload_bytes") >= least).groupBy(*same).agg(F.min(rank).alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    groups = written(groups, compact=True)
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+    joined = dealt_join(records, groups.drop("_n"), same, F.col("record_id"), groups.drop("_kept"), piece(total), "left")
+    own = (F.col("_kept.record_id") == F.col("record_id")) | F.coalesce(F.col("_kept.key") == F.col("key"), F.lit(False))
+    target = F.struct(F.col("_kept.key").alias("key"), F.col("_kept.record_id").alias("record_id"), F.col("_kept.uri").alias("uri"), F.col("_kept.date").alias("date"))
+    return joined.withColumn("refers_to", F.when(F.col("_kept").isNotNull() & ~own, target)).drop("_kept")
 
 
 def warc_record(row: dict) -> bytes:
@@ -237,7 +300,11 @@ def warc_record(row: dict) -> bytes:
 
 
 def write_warcs(records: DataFrame, level: int = 3) -> DataFrame:
-    """WARC files of bounded size (archive, data), one gzip member per record."""
+    """WARC files of bounded size (archive, data), one gzip member per record, of `records` from mark_revisits.
+
+    No records, no files; a record larger than ARCHIVE_BYTES ends its file; other
+    columns are ignored, and equal rows are each written.
+    """
     schema = _schema(ARCHIVES)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,27 +323,24 @@ def write_warcs(records: DataFrame, level: int = 3) -> DataFrame:
     return records.mapInArrow(run, ARCHIVES)
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of an inflated WARC file."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 1] in (b"\r", b"\n"):
-            at += 1
-            continue
-        end = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or end < 0:
+def warc_records(data: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record of a WARC file, plain or gzipped."""
+    stream = _Stream(data)
+    while stream.skip(b"\r\n"):
+        at = stream.position
+        found = stream.until(b"\r\n\r\n")
+        if found is None or found[:5] != b"WARC/":
             raise ValueError(f"no WARC record at {at}")
-        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
+        head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in found.decode("utf-8", "replace").split("\r\n")[1:])}
         size = int(head["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = stream.take(size)
         if len(block) != size:
             raise ValueError(f"the record at {at} declares {size} bytes, {len(block)} are left")
         yield head, block
-        at = end + 4 + size
 
 
-def _read(archive: str, data: bytes) -> Iterator[dict]:
-    for head, block in warc_records(_inflate(data)):
+def _read(archive: str, data: bytes | pa.Buffer) -> Iterator[dict]:
+    for head, block in warc_records(data):
         kind = head["warc-type"]
         _, payload = split_http(block) if head.get("content-type", "").startswith("application/http") else (b"", block)
         told = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
@@ -291,6 +355,10 @@ def _read(archive: str, data: bytes) -> Iterator[dict]:
 
 
 def read_warcs(archives: DataFrame) -> DataFrame:
-    """READ rows of WARC files (archive, data), plain or gzipped; digests are checked, a wrong one is an error."""
+    """READ rows of WARC files (archive, data), plain or gzipped; digests are checked, a wrong one is an error.
+
+    Null or empty data has no records, so an empty table gives an empty result; equal
+    rows are each read; other columns are ignored, whatever their names.
+    """
     schema = _schema(READ)
     return archives.select("archive", "data").mapInArrow(lambda parts: _rows(parts, schema, _read), READ)

@@ -29,15 +29,20 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
-def written(frame: DataFrame, compact: bool = False, **options: str) -> DataFrame:
+def written(frame: DataFrame, compact: bool = False, beside: str | None = None, **options: str) -> DataFrame:
     """The frame, written as Parquet in the shared folder and read again; removed by `release` or when the session's JVM ends.
 
     `compact`, for tables of few bytes a row and many partitions: at most four files a core.
+    `beside`: a folder that the frame's tasks write to, removed at the end likewise.
     """
     spark = frame.sparkSession
     if compact:
         frame = frame.coalesce(4 * spark.sparkContext.defaultParallelism)
     path = f"{shared_folder(spark).rstrip('/')}/bindery-{uuid.uuid4().hex}"
+    if beside:
+        files, place = _place(spark, beside)
+        files.mkdirs(place)  # only a folder that exists is removed at the end
+        files.deleteOnExit(place)
     frame.write.options(**options).parquet(path)
     files, place = _place(spark, path)
     files.deleteOnExit(place)

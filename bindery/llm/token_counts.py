@@ -1,15 +1,17 @@
 """Token counts: document lengths in flat token files that have no index, by a separator scan.
 
 A flat file is nothing but token ids (little-endian, 16 or 32 bits), documents
-one behind the other, each closed by one separator id.  Files come as rows
-(file, block, data) of fixed size that know nothing of documents.  Every block
-is searched with one vectorised comparison; what crosses block ends is stitched
-by a prefix scan over block summaries (tokens, last separator), in two levels,
-so no window holds more than SPAN blocks of a file or a file's spans.
+one behind the other, each closed by one separator id.  Files are read by byte
+ranges of fixed size that know nothing of documents, so a file may have any size.
+Every range is searched with one vectorised comparison; what crosses its ends is
+stitched by a prefix scan over range summaries (tokens, last separator), in two
+levels, so no window holds more than SPAN ranges of a file or a file's spans.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,34 +20,57 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ._labelled import batches
-from ._store import written
+from ._store import shared_folder, written
 from ._text import column_bytes
 from ._tokens import word_tokenizer
 
 SPAN = 4096
 FILE_BLOCKS = 256
+#: What one scanning task reads, and how many neighbouring ranges of a file stay together.
+TASK_BYTES, NEIGHBOURS = 64 << 20, 16
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 18, wide: bool = False) -> DataFrame:
-    """(file, block, data, ids): the documents as flat files, in blocks of `block_tokens`, several files a partition.
+def _opened(uri: str):
+    """(filesystem, path in it) of a path as Spark names it; local, hdfs, s3 and gs folders can be opened."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^(\w+):/(?!/)", r"\1:///", re.sub(r"^s3[an]:", "s3:", uri))
+    return (fs.LocalFileSystem(), uri[7:]) if uri.startswith("file://") else fs.FileSystem.from_uri(uri)
 
-    `ids` names, in order, the documents whose separator lies in the block; the
-    scan does not use it.  Special tokens in a text are ordinary text, so only
-    the writer makes separators.  A null or empty text is a separator alone.
+
+def write_token_files(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 18, wide: bool = False) -> DataFrame:
+    """(file, block, path, at, bytes, ids): flat files of the documents, written now, by ranges of `block_tokens`; several files a partition.
+
+    The files lie in a new folder under the session's shared one and are removed
+    with it when the session's JVM ends.  `ids` names, in order, the documents whose
+    separator lies in the range; the scan does not use it.  Special tokens in a text
+    are ordinary text, so only the writer makes separators.  A null or empty text is
+    a separator alone, rows of one id are documents of their own, an empty table
+    writes no file, and no other column is read, so their names may be anything.
     Files are numbered by partition: the same input partitions give the same files.
+    A file's name belongs to one attempt of a task and counts only by the rows that
+    the attempt commits: what a lost executor or a second attempt wrote is never read.
     """
     kind = "<u4" if wide else "<u2"
+    folder = f"{shared_folder(docs.sparkSession).rstrip('/')}/bindery-{uuid.uuid4().hex}"
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file = TaskContext.get().partitionId() << 24
-        block, held, held_ids, size = 0, [], [], 0
+        file, attempt = TaskContext.get().partitionId() << 24, uuid.uuid4().hex
+        block, held, held_ids, size, sink = 0, [], [], 0, None
 
         def cut(n: int) -> pa.RecordBatch:
-            nonlocal held, size, held_ids, block, file
+            nonlocal held, size, held_ids, block, sink
             flat = np.concatenate(held)
             ids = np.concatenate(held_ids)
             closed = int((flat[:n] == end).sum())
-            out = pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64()), "block": pa.array([block], pa.int64()), "data": pa.array([flat[:n].astype(kind).tobytes()], pa.binary()), "ids": pa.array([ids[:closed].tolist()], pa.list_(pa.int64()))})
+            path = f"{folder}/{file}-{attempt}.tokens"
+            if sink is None:
+                system, inside = _opened(path)
+                system.create_dir(inside.rpartition("/")[0], recursive=True)
+                sink = system.open_output_stream(inside)
+            at, data = sink.tell(), flat[:n].astype(kind).tobytes()
+            sink.write(data)
+            out = pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64()), "block": pa.array([block], pa.int64()), "path": pa.array([path]), "at": pa.array([at], pa.int64()), "bytes": pa.array([len(data)], pa.int64()), "ids": pa.array([ids[:closed].tolist()], pa.list_(pa.int64()))})
             held, held_ids, size, block = [flat[n:]], [ids[closed:]], len(flat) - n, block + 1
             return out
 
@@ -60,33 +85,48 @@ def write_token_files(docs: DataFrame, tokenizer: str, end: int, id_col: str = "
                 if block >= FILE_BLOCKS:  # the file ends with its last whole document
                     if size:
                         yield cut(size)
-                    file, block, held, held_ids, size = file + 1, 0, [], [], 0
+                    sink.close()
+                    file, block, held, held_ids, size, sink = file + 1, 0, [], [], 0, None
         if size:
             yield cut(size)
+        if sink is not None:
+            sink.close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "file long, block long, data binary, ids array<long>")
+    return written(rows.mapInArrow(run, "file long, block long, path string, at long, bytes long, ids array<long>"), beside=folder)
 
 
 def file_blocks(files: DataFrame, block_bytes: int = 1 << 20) -> DataFrame:
-    """(file, block, data) from spark.read.format("binaryFile") rows (path, content); block_bytes must hold whole ids."""
+    """(file, block, path, at, bytes): byte ranges of stored flat files, from spark.read.format("binaryFile") rows (path, length).
+
+    The content is not read here and no file is held whole.  `block_bytes` must hold
+    whole ids; an empty file has no ranges, and so no documents; other columns go.
+    """
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long"))
+    ranges = files.where("length > 0").select("path", "length", F.posexplode(starts).alias("block", "at"))
+    return ranges.select(F.col("path").alias("file"), F.col("block").cast("long").alias("block"), "path", "at", F.least(F.lit(block_bytes).cast("long"), F.col("length") - F.col("at")).alias("bytes"))
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for path, content in zip(part["path"].to_pylist(), part["content"], strict=True):
-                data = memoryview(content.as_buffer()) if content.is_valid else memoryview(b"")
-                for k in range(-(-len(data) // block_bytes)):
-                    yield pa.RecordBatch.from_pydict({"file": pa.array([path]), "block": pa.array([k], pa.int64()), "data": pa.array([bytes(data[k * block_bytes : (k + 1) * block_bytes])], pa.binary())})
 
-    return files.select("path", "content").mapInArrow(run, "file string, block long, data binary")
+def _spread(blocks: DataFrame) -> DataFrame:
+    """The ranges dealt to tasks of about TASK_BYTES, neighbours together."""
+    rows, total = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(rows, blocks.sparkSession.sparkContext.defaultParallelism), -(-total // TASK_BYTES))
+    return blocks.repartition(tasks, "file", F.floor(F.col("block") / NEIGHBOURS)).sortWithinPartitions("file", "block")
 
 
 def _scan(end: int, kind: str, keep: list[str]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, source = None, None
         for part in parts:
             n, first, last, starts, lengths = [], [], [], [], []
-            for data in part["data"]:
-                ids = np.frombuffer(data.as_buffer(), kind) if data.is_valid and data.as_buffer().size else np.empty(0, kind)
+            for path, start, size in zip(part["path"].to_pylist(), part["at"].to_pylist(), part["bytes"].to_pylist(), strict=True):
+                if path != held:
+                    system, inside = _opened(path)
+                    held, source = path, system.open_input_file(inside)
+                data = source.read_at(size, start) if size else b""
+                if len(data) != (size or 0):
+                    raise EOFError(f"{path} ends before byte {start + size}")
+                ids = np.frombuffer(data, kind)
                 at = np.flatnonzero(ids == end)
                 n.append(len(ids))
                 first.append(int(at[0]) if len(at) else None)
@@ -105,14 +145,17 @@ def count_tokens(blocks: DataFrame, end: int, wide: bool = False, names: str | N
     `n_tokens` and `start` (its first token in the file) leave the separator out.
     Tokens behind a file's last separator are a last document; nothing behind it
     is none, so an empty file has no documents, and a file of k separators alone
-    has k documents of 0 tokens.  Null or empty data is a block of 0 tokens;
-    blocks need not be of one size, but (file, block) must be unique.  `names`:
-    an array column that names, in order, the documents whose separator is in the block.
+    has k documents of 0 tokens.  `blocks` has byte ranges (file, block, path, at,
+    bytes) as the two functions above give; a range of null or 0 bytes has no tokens,
+    one behind the file's end is an error.  Ranges need not be of one size, but
+    (file, block) must be unique; no ranges give no documents.  `names`: an array
+    column that names, in order, the documents whose separator is in the range.
     """
     keep = ["file", "block", *([names] if names else [])]
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
-    found = blocks.select(*keep, "data").mapInArrow(_scan(end, "<u4" if wide else "<u2", keep), "".join(f"{c} {kinds[c]}, " for c in keep) + "n long, first long, last long, starts array<long>, lengths array<long>")
-    found = written(found)  # read twice below; the files are not
+    ranges = _spread(blocks.select(*keep, "path", "at", "bytes"))
+    found = ranges.mapInArrow(_scan(end, "<u4" if wide else "<u2", keep), "".join(f"{c} {kinds[c]}, " for c in keep) + "n long, first long, last long, starts array<long>, lengths array<long>")
+    found = written(found)  # read twice below; the files once
     found = found.withColumn("span", F.floor(F.col("block") / SPAN)).withColumn("ends", F.size("lengths").cast("long"))
     inside = Window.partitionBy("file", "span").orderBy("block")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)

@@ -207,6 +207,25 @@ def test_token_counts_of_flat_files(spark, tmp_path):
         T.SPAN = before
 
 
+def test_token_files_are_flat_and_strays_are_not_read(spark):
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary())
+    tokenizer.encode_special_tokens = True
+    df = spark.createDataFrame([(i, f"text number {i} " * (i % 7)) for i in range(300)], "doc_id long, text string").coalesce(1)
+    ranges = write_token_files(df, vocabulary(), END_OF_TEXT, block_tokens=128)
+    path = Path(ranges.first().path.removeprefix("file://"))
+    flat = [t for i in range(300) for t in [*tokenizer.encode(f"text number {i} " * (i % 7), add_special_tokens=False).ids, END_OF_TEXT]]
+    assert path.read_bytes() == struct.pack(f"<{len(flat)}H", *flat)
+    (path.parent / "0-lost.tokens").write_bytes(b"stray bytes of a lost attempt")
+    assert count_tokens(ranges, END_OF_TEXT).agg({"n_tokens": "sum"}).first()[0] == len(flat) - 300
+    with pytest.raises(Exception, match="ends before byte"):
+        path.write_bytes(path.read_bytes()[:100])
+        count_tokens(ranges, END_OF_TEXT).count()
+
+
 def test_media_round_trip(spark):
     files = media.store_texts(cases.documents(spark)).cache()
     found = media.index_media(files, keep=("doc_id", "n_bytes", "media"), samples=True).collect()

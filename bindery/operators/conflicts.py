@@ -128,3 +128,8 @@ def availability(formats: DataFrame) -> DataFrame:
     differ = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
     warned = pair.groupBy("group_id").agg(F.bool_or(~F.arrays_overlap("a", "b") | (differ >= 2)).alias("warns"))
     return formats.select("group_id").distinct().join(warned, "group_id", "left").select("group_id", F.coalesce("warns", F.lit(False)).alias("warns"))
+
+
+def without_formats(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(group_id, book_id, code) of records that declare no file at all."""
+    return members.join(files.select("book_id").distinct(), "book_id", "left_anti").select("group_id", "book_id", F.lit("FORMAT.NO_DECLARED_FORMATS").alias("code"))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.identifiers import canonical_type, strong
 from ..functions.text import usable
 from .conflicts import separate_disjoint
 from .scoring import DECISIVE_RULES
@@ -34,6 +35,12 @@ def metadata_warnings(rows: DataFrame) -> DataFrame:
     return placeholder.unionByName(partly.select("group_id", F.lit(None).cast("long").alias("book_id"), F.lit("METADATA.LANGUAGE_INCOMPLETE").alias("code")))
 
 
+def invalid_identifiers(identifiers: DataFrame) -> DataFrame:
+    """(book_id, code) of records with an identifier (type, value) of a strong type whose value is not valid."""
+    wrong = canonical_type(F.col("type")).isNotNull() & strong(F.col("type"), F.col("value")).isNull()
+    return identifiers.where(wrong).select("book_id", F.lit("IDENTIFIER.STRONG_INVALID").alias("code")).distinct()
+
+
 def decisive_facts(findings: DataFrame) -> DataFrame:
     """(group_id, book_id, points, faults, out, out_decisively) of assessed EPUBs from findings (rule, points, severity).
 

@@ -20,6 +20,8 @@ LISTED = [
 ]
 #: What a problem disqualifies (fixed values).
 PROBLEM_RULES = {"CannotOpen": "EPUB.OPEN", "Unreadable": "EPUB.OPEN", "UnsafeArchive": "EPUB.ARCHIVE_SAFETY", "LimitExceeded": "EPUB.ARCHIVE_SAFETY", "PackageMalformed": "EPUB.PACKAGE", "Encrypted": "EPUB.ENCRYPTION", "ChangedDuringInspection": "EPUB.FILE_CHANGED"}
+#: The problem of a file that is not present, by its status (fixed values); any other status is Unreadable.
+ABSENT = {"Missing": "CannotOpen", "InvalidPath": "UnsafeArchive", "Inaccessible": "Unreadable", "ChangedDuringHashing": "ChangedDuringInspection"}
 SEVERITY_RANK = ["Disqualifying", "Error", "Warning", "Information", "Positive"]
 
 
@@ -103,3 +105,9 @@ def occurrences(rows: DataFrame, keys: list[str], kind: str, value: str, order:
 
     n = F.row_number().over(Window.partitionBy(*keys, kind, value).orderBy(order))
     return rows.withColumn("_n", n).where("_n > 1").select(*keys, F.concat(kind, F.lit(":"), value, F.lit("#"), F.col("_n").cast("string")).alias("mark"))
+
+
+def absent_problem(status: Column) -> Column:
+    """The inspection problem of a file's status; null for a present file, Unreadable for a status that is unknown or null."""
+    known = F.create_map(*[F.lit(x) for pair in ABSENT.items() for x in pair])
+    return F.when(~status.eqNullSafe("Present"), F.coalesce(F.try_element_at(known, F.coalesce(status, F.lit(""))), F.lit("Unreadable")))

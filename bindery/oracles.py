@@ -270,3 +270,57 @@ ORACLE_SQL["C7_whole_cohorts"] = f"""WITH {_MEMBERS}, gone AS (SELECT book_id FR
     UNION SELECT book_id FROM (WITH s AS (SELECT group_id FROM members GROUP BY 1 HAVING max(year) - min(year) >= 2), wide AS (SELECT m.* FROM members m JOIN s USING (group_id)) {_known('year', 'Y', 'wide')})),
     m AS (SELECT group_id, book_id, book_id NOT IN (SELECT book_id FROM gone) AS stays FROM members), n AS (SELECT *, count(*) FILTER (stays) OVER (PARTITION BY group_id) AS size FROM m)
     SELECT group_id, book_id, stays AND size >= 2 AS in_cohort, CASE WHEN size < 2 THEN 'RetainedSeparate' WHEN stays THEN 'Cohort' ELSE 'Separated' END AS outcome FROM n"""
+
+# assessments as evidence, orders, overrides and backups
+_HEAD = """h AS (SELECT l_orderkey * 100 + l_linenumber AS book_id, l_orderkey * 31 + l_linenumber * 7 AS k, 'a/b' || l_linenumber AS path, min(CASE WHEN l_suppkey % 13 <> 0 THEN sha256((l_suppkey % 3)::VARCHAR) END) AS first_sha FROM lineitem WHERE l_returnflag = 'A' AND (l_orderkey * 31 + l_linenumber * 7) % 17 <> 0 GROUP BY ALL),
+    heads AS (SELECT book_id, 'EPUB' AS format, path, CASE WHEN k % 5 < 2 OR k % 11 = 0 THEN 'Disqualified' ELSE 'Completed' END AS assessment, CASE WHEN NOT (k % 5 < 2 OR k % 11 = 0) THEN k % 101 END AS points, CASE WHEN k % 19 = 0 THEN '1.1' ELSE '1.0' END AS analyzer, '1.0' AS model, CASE WHEN k % 23 = 0 THEN 'old' ELSE first_sha END AS seen FROM h),
+    j AS (SELECT c.*, assessment, points, analyzer, model, seen FROM c LEFT JOIN heads ON heads.book_id = c.book_id AND heads.path = c.path WHERE c.format = 'EPUB')"""
+ORACLE_SQL["J8_candidate_assessments"] = f"WITH {_CAND}, {_HEAD} SELECT group_id, book_id, format, replace(path, '/', chr(92)) AS path, status, assessment, points AS score, analyzer, model FROM j"
+ORACLE_SQL["J11_assessment_evidence"] = f"""WITH {_CAND}, {_HEAD}, w AS (SELECT book_id, CASE WHEN book_id % 31 = 0 THEN 'PDF' ELSE format END AS format, CASE WHEN book_id % 37 = 0 THEN 'gone/x' ELSE path END AS path FROM heads)
+    SELECT book_id, format, path, CASE WHEN book_id % 29 = 0 THEN 'Repeated' WHEN format = 'PDF' THEN 'NotEpub' ELSE 'Undeclared' END AS fault FROM w WHERE book_id % 29 = 0 OR format <> 'EPUB' OR NOT EXISTS (FROM c WHERE c.book_id = w.book_id AND c.path = w.path AND c.format = 'EPUB')"""
+ORACLE_SQL["C12_assessment_currency"] = f"""WITH {_CAND}, {_HEAD}, g AS (SELECT group_id, count(*) FILTER (assessment IS NULL OR seen IS DISTINCT FROM sha256) AS bad, count(DISTINCT analyzer) AS kinds FROM j WHERE status = 'Present' GROUP BY 1 HAVING count(*) > 1 AND count(DISTINCT sha256) > 1)
+    SELECT group_id, 'ASSESSMENT.STALE_OR_INCOMPARABLE' AS code, CASE WHEN bad > 0 THEN 'Fingerprint' ELSE 'Version' END AS cause FROM g WHERE bad > 0 OR kinds > 1"""
+ORACLE_SQL["O9_decision_evidence"] = f"""WITH {_CAND}, {_HEAD}, r AS (SELECT DISTINCT group_id // 64 AS group_id, book_id, assessment, points, analyzer, model FROM j),
+    n AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY book_id) AS p, count(*) OVER (PARTITION BY group_id) AS total FROM r),
+    k AS (SELECT book_id, k FROM h), f AS (SELECT book_id, 'EPUB.NAVIGATION' AS rule, CASE WHEN k % 3 = 0 THEN 'Warning' ELSE 'Positive' END AS severity, CASE WHEN k % 3 = 0 THEN -6 ELSE 4 END AS points FROM k
+    UNION ALL SELECT book_id, 'EPUB.CHAPTER.EMPTY', 'Error', -2 FROM k WHERE k % 4 = 0 UNION ALL SELECT book_id, 'EPUB.CHAPTER.EMPTY', 'Error', -2 FROM k WHERE k % 8 = 0 UNION ALL SELECT book_id, 'EPUB.OPEN', 'Disqualifying', 0 FROM k WHERE k % 5 < 2),
+    t AS (SELECT book_id, string_agg(rule || ':' || severity || ':' || points, ',' ORDER BY rule || ':' || severity || ':' || points) AS findings, array_to_string(list(rule || ': adjusts by ' || points ORDER BY rule, 'adjusts by ' || points)[:4], ' | ') AS explanations FROM f GROUP BY 1)
+    SELECT group_id, n.book_id, coalesce(assessment, 'missing') AS status, CASE WHEN assessment IS NOT NULL THEN coalesce(n.points::VARCHAR, 'not-scored') END AS score, analyzer, model, findings, explanations, greatest(total - 12, 0) AS omitted FROM n LEFT JOIN t ON t.book_id = n.book_id WHERE p <= 12"""
+ORACLE_SQL["E12_absent_files"] = """SELECT s AS status, CASE WHEN s IS NULL THEN 'Unreadable' ELSE ['CannotOpen', 'UnsafeArchive', 'Unreadable', 'ChangedDuringInspection'][i] END AS problem, count(*) AS n
+    FROM (SELECT l_linenumber % 6 AS i, ['Present', 'Missing', 'InvalidPath', 'Inaccessible', 'ChangedDuringHashing'][l_linenumber % 6 + 1] AS s FROM lineitem) GROUP BY ALL"""
+ORACLE_SQL["O3_metadata_group_order"] = f"WITH {_BOOKS}, {_LINKS}, {_IDENTITY}, g AS (SELECT {_GROUP_ID} AS group_id, title_key, ks FROM identity GROUP BY title_key, ks HAVING count(*) >= 2) SELECT group_id, title_key, row_number() OVER (PARTITION BY title_key ORDER BY ks, group_id) AS ordinal FROM g"
+ORACLE_SQL["O6_statement_order"] = f"""WITH {_SELECT}, said AS (SELECT group_id, CASE WHEN reason LIKE 'EPUB.%' THEN 'Assessment' ELSE 'Format' END AS subject, format, source_id AS book_id, reason AS code, resolution AS explanation FROM sel
+    UNION ALL SELECT DISTINCT group_id, 'Record', NULL, book_id, 'RECORD.LARGE', score::VARCHAR FROM c WHERE score > 40)
+    SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY CASE subject WHEN 'Format' THEN 3 WHEN 'Record' THEN 4 ELSE 5 END, format NULLS FIRST, coalesce(book_id, 0), code, explanation) AS ordinal FROM said"""
+ORACLE_SQL["O7_issue_order"] = f"""WITH i AS (SELECT group_id, severity, NULL::BIGINT AS book_id, NULL::VARCHAR AS format, code, n::VARCHAR AS explanation FROM ({ORACLE_SQL['C23_required_issues']})
+    UNION ALL SELECT * FROM (WITH {_CAND} SELECT DISTINCT group_id, 'BlockingError', book_id, format, 'PLAN.SOURCE_FILE_UNAVAILABLE', '' FROM c WHERE status = 'Missing'))
+    SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY severity = 'Information', severity = 'Warning', coalesce(book_id, 0), format NULLS FIRST, code, explanation) AS ordinal FROM i"""
+ORACLE_SQL["O10_backup_order"] = f"""WITH {_PLAN}, b AS (SELECT DISTINCT group_id, CASE reason WHEN 'Format' THEN 'FormatFile' ELSE 'RecordMetadataSnapshot' END AS kind, book_id, format, concat_ws(':', reason, book_id, format) AS id FROM plan WHERE kind = 'Backup')
+    SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY kind DESC, coalesce(book_id, 0), format NULLS FIRST, id) AS ordinal FROM b"""
+ORACLE_SQL["C9_invalid_identifiers"] = f"WITH x AS ({ORACLE_SQL['X3_X7_G10_strong_identifiers']}) SELECT DISTINCT book_id, 'IDENTIFIER.STRONG_INVALID' AS code FROM x WHERE kind IS NOT NULL AND strong IS NULL"
+ORACLE_SQL["C10_without_formats"] = "SELECT p_size::BIGINT AS group_id, p_partkey AS book_id, 'FORMAT.NO_DECLARED_FORMATS' AS code FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)"
+_REVIEW = """o AS (SELECT o_custkey AS g, o_orderkey AS b, o_orderstatus AS f, o_orderkey % 9 <> 0 AS there, o_orderkey % 37 = 0 AS gen FROM orders), e AS (SELECT g, min(b) AS lo, max(b) AS hi FROM o GROUP BY 1),
+    sel AS (SELECT g, f, min(b) AS s FROM o WHERE there GROUP BY ALL),
+    v AS (SELECT g, lo, ['Unreviewed', 'Accepted', 'ManuallyAdjusted', 'Deferred', 'KeepSeparate', 'NotDuplicates', 'Odd'][g % 7 + 1] AS req, g % 11 <> 0 AS live, CASE g % 5 WHEN 1 THEN hi WHEN 2 THEN 0 END AS src, g % 7 IN (4, 5) AS apart FROM e),
+    fo AS (SELECT g, f, CASE WHEN g % 16 = 1 THEN 'Other' ELSE ['SelectSource', 'MarkUnresolved', 'ExcludeFinalFormat'][g % 3 + 1] END AS act, CASE WHEN g % 16 <> 1 AND g % 3 = 0 THEN CASE WHEN g % 10 < 7 THEN s ELSE -1 END WHEN g % 13 = 0 THEN 5 END AS s, true AS known FROM sel WHERE g % 4 = 1
+    UNION ALL SELECT g, CASE WHEN g % 29 = 3 THEN ' ' ELSE 'ZIP' END, 'MarkUnresolved', NULL, false FROM e WHERE g % 29 = 3 OR g % 31 = 4),
+    keep AS (SELECT g, b FROM o WHERE gen OR b % 23 = 0 UNION SELECT g, -7 FROM e WHERE g % 41 = 0),
+    e1 AS (SELECT g, 'REVIEW_STATUS_INVALID' AS code, NULL::VARCHAR AS about FROM v WHERE req = 'Odd' UNION ALL SELECT g, 'STALE_OVERRIDE', NULL FROM v WHERE NOT live UNION ALL SELECT g, 'METADATA_SOURCE_NOT_MEMBER', '0' FROM v WHERE live AND src = 0
+    UNION ALL SELECT g, 'RETAINED_RECORD_NOT_MEMBER', '-7' FROM v WHERE live AND g % 41 = 0
+    UNION ALL SELECT g, CASE WHEN trim(f) = '' THEN 'FORMAT_REQUIRED' WHEN act = 'Other' THEN 'FORMAT_ACTION_INVALID' WHEN NOT known THEN 'FORMAT_NOT_REPRESENTED' WHEN act = 'SelectSource' THEN 'FORMAT_SOURCE_UNAVAILABLE' ELSE 'FORMAT_ACTION_SOURCE_CONFLICT' END, f FROM fo JOIN v USING (g)
+        WHERE live AND (trim(f) = '' OR act = 'Other' OR NOT known OR (act = 'SelectSource' AND s = -1) OR (act <> 'SelectSource' AND s IS NOT NULL))
+    UNION ALL SELECT g, 'RETAINED_METADATA_CONFLICT', coalesce(src, lo)::VARCHAR FROM v WHERE live AND NOT apart AND (g, coalesce(src, lo)) IN (SELECT (g, b) FROM keep)),
+    e2 AS (SELECT sel.g, 'RETAINED_FORMAT_CONFLICT' AS code, sel.f AS about FROM sel JOIN v USING (g) LEFT JOIN fo ON fo.g = sel.g AND fo.f = sel.f WHERE live AND NOT apart AND sel.g NOT IN (SELECT g FROM e1) AND (sel.g, CASE WHEN act IS NULL THEN sel.s WHEN act = 'SelectSource' THEN fo.s END) IN (SELECT (g, b) FROM keep)),
+    ok AS (SELECT *, (src IS NOT NULL AND src <> lo) OR g IN (SELECT g FROM fo) OR g IN (SELECT g FROM o WHERE b % 23 = 0 AND NOT gen) AS changed FROM v WHERE g NOT IN (SELECT g FROM e1) AND g NOT IN (SELECT g FROM e2))"""
+ORACLE_SQL["C17_override_errors"] = f"WITH {_REVIEW} SELECT g AS group_id, code, about FROM (FROM e1 UNION ALL FROM e2 UNION ALL SELECT g, 'ACCEPTED_REQUIRES_GENERATED_SELECTION', NULL FROM ok WHERE req = 'Accepted' AND changed)"
+ORACLE_SQL["C17_reviewed_recommendations"] = f"""WITH {_REVIEW}, q AS (SELECT *, NOT apart AND g IN (SELECT g FROM o WHERE NOT gen AND b % 23 <> 0) AS effective FROM ok WHERE NOT (req = 'Accepted' AND changed))
+    SELECT g AS group_id, CASE WHEN req IN ('KeepSeparate', 'NotDuplicates', 'Deferred') THEN req WHEN changed THEN 'ManuallyAdjusted' WHEN req = 'Accepted' THEN req ELSE 'Unreviewed' END AS status, CASE WHEN effective THEN coalesce(src, lo) END AS source_id, effective FROM q"""
+ORACLE_SQL["C31_confirmations"] = "SELECT user_id AS group_id, 'EXECUTION.BACKUP_CONFIRMATION_MISSING' AS code, count(*) FILTER (event_type = 'purchase') AS n FROM events GROUP BY 1 HAVING n <> 1"
+ORACLE_SQL["C34_backup_files"] = """WITH r AS (SELECT DISTINCT o_orderkey AS k FROM orders), w AS (SELECT l_orderkey AS k, l_linenumber AS n, min(l_partkey) AS p FROM lineitem GROUP BY ALL),
+    x AS (SELECT l_orderkey AS k, l_linenumber AS n, count(*) AS c, bool_and(l_partkey = p AND (l_orderkey + l_linenumber) % 23 <> 0) AS same FROM lineitem JOIN w ON k = l_orderkey AND n = l_linenumber WHERE (l_orderkey + l_linenumber) % 19 <> 0 GROUP BY ALL),
+    cv AS (SELECT k, k % 2 = 0 AS has, (k % 2 = 0 AND k % 7 <> 0) OR k % 13 = 0 AS stored FROM r)
+    SELECT k AS book_id, NULL AS format, 'EXECUTION.BACKUP_METADATA_MISSING' AS code FROM r WHERE k % 17 = 0 AND k % 41 <> 0
+    UNION ALL SELECT k, NULL, 'EXECUTION.BACKUP_METADATA_INVALID' FROM r WHERE k % 17 <> 0 AND (k % 29 = 0 OR k % 41 = 0)
+    UNION ALL SELECT k, NULL, 'EXECUTION.BACKUP_COVER_MISSING' FROM cv WHERE has AND NOT stored UNION ALL SELECT k, NULL, 'EXECUTION.BACKUP_COVER_INVALID' FROM cv WHERE stored AND (NOT has OR k % 31 = 0)
+    UNION ALL SELECT k, NULL, 'EXECUTION.UNMODELED_EXTRA_DATA' FROM r WHERE k % 43 = 0
+    UNION ALL SELECT w.k, 'F' || w.n, CASE WHEN x.c IS NULL THEN 'EXECUTION.BACKUP_EXPORTED_FORMAT_MISSING' ELSE 'EXECUTION.BACKUP_EXPORTED_FORMAT_INVALID' END FROM w JOIN r USING (k) LEFT JOIN x ON x.k = w.k AND x.n = w.n WHERE x.c IS NULL OR x.c > 1 OR NOT x.same"""

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import digests as D, identifiers as I, text as X
-from .operators import catalog, conflicts, duplicates, recommend, scoring
-from .plans import cleanup, review
+from .operators import catalog, conflicts, duplicates, evidence, orders, recommend, scoring
+from .plans import cleanup, overrides, review
 from .sources import bridges as B, pages
 from .streaming import journal
 
@@ -686,3 +687,122 @@ def U10_U9_lineage(spark, d):
 def H4_graph_digest(spark, d):
     _, plan = _plan(spark, d)
     return review.graph_digests(cleanup.operation_graph(plan, _sources(spark, d)))
+
+
+# assessments as evidence
+
+
+def _assessed(spark, d):
+    return evidence.assessed(B.candidates(spark, d).where("format = 'EPUB'").drop("score"), B.assessment_headers(spark, d))
+
+
+@query
+def J8_candidate_assessments(spark, d):
+    return _assessed(spark, d).drop("sha256", "assessed_sha256")
+
+
+@query
+def J11_assessment_evidence(spark, d):
+    rows, k = B.assessment_headers(spark, d), F.col("book_id")
+    wrong = rows.withColumn("format", F.when(k % 31 == 0, "PDF").otherwise(F.col("format"))).withColumn("path", F.when(k % 37 == 0, "gone/x").otherwise(F.col("path")))
+    return evidence.inconsistent(B.candidates(spark, d), wrong.unionByName(wrong.where(k % 29 == 0)))
+
+
+@query
+def C12_assessment_currency(spark, d):
+    return evidence.incomparable(_assessed(spark, d))
+
+
+@query
+def O9_decision_evidence(spark, d):
+    # an order has too few files to omit any, so its neighbours' are one group with them
+    wide = (F.col("group_id") / 64).cast("long")
+    findings = B.assessments(spark, d).withColumn("explanation", F.concat(F.lit("adjusts by "), F.col("points").cast("string")))
+    return evidence.decision_evidence(_assessed(spark, d).withColumn("group_id", wide), findings.withColumn("group_id", wide))
+
+
+@query
+def E12_absent_files(spark, d):
+    k = F.col("l_linenumber") % 6
+    status = F.when(k == 0, "Present").when(k == 1, "Missing").when(k == 2, "InvalidPath").when(k == 3, "Inaccessible").when(k == 4, "ChangedDuringHashing")
+    rows = B.table(spark, d, "lineitem").select(status.alias("status"))
+    return rows.groupBy("status", scoring.absent_problem(F.col("status")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# orders
+
+
+@query
+def O3_metadata_group_order(spark, d):
+    return orders.metadata_groups(duplicates.metadata_groups(_identities(spark, d))).select("group_id", "title_key", "ordinal")
+
+
+@query
+def O6_statement_order(spark, d):
+    chosen = recommend.select_formats(B.candidates(spark, d))
+    reasons = chosen.select("group_id", F.when(F.col("reason").startswith("EPUB."), "Assessment").otherwise("Format").alias("subject"), "format", F.col("source_id").alias("book_id"), F.col("reason").alias("code"), F.col("resolution").alias("explanation"))
+    lines = B.candidates(spark, d).where("score > 40").select("group_id", F.lit("Record").alias("subject"), F.lit(None).cast("string").alias("format"), "book_id", F.lit("RECORD.LARGE").alias("code"), F.col("score").cast("string").alias("explanation"))
+    return orders.statements(reasons.unionByName(lines.distinct()))
+
+
+@query
+def O7_issue_order(spark, d):
+    files, plan = _plan(spark, d)
+    notes = cleanup.required_issues(plan, files.select("group_id", (F.col("book_id") % 5 == 0).alias("has_cover")))
+    notes = notes.select("group_id", "severity", F.lit(None).cast("long").alias("book_id"), F.lit(None).cast("string").alias("format"), "code", F.col("n").cast("string").alias("explanation"))
+    missing = files.where("status = 'Missing'").select("group_id", F.lit("BlockingError").alias("severity"), "book_id", "format", F.lit("PLAN.SOURCE_FILE_UNAVAILABLE").alias("code"), F.lit("").alias("explanation")).distinct()
+    return orders.issues(notes.unionByName(missing))
+
+
+@query
+def O10_backup_order(spark, d):
+    plan = _plan(spark, d)[1].where("kind = 'Backup'").distinct()
+    kind = F.when(F.col("reason") == "Format", "FormatFile").otherwise("RecordMetadataSnapshot")
+    return orders.backups(plan.select("group_id", kind.alias("kind"), "book_id", "format", F.concat_ws(":", "reason", F.col("book_id").cast("string"), "format").alias("id")))
+
+
+# warnings, overrides and backups
+
+
+@query
+def C9_invalid_identifiers(spark, d):
+    return recommend.invalid_identifiers(B.identifiers(spark, d))
+
+
+@query
+def C10_without_formats(spark, d):
+    records = B.table(spark, d, "part").select(F.col("p_size").cast("long").alias("group_id"), F.col("p_partkey").alias("book_id"))
+    return conflicts.without_formats(records, B.table(spark, d, "orders").select(F.col("o_custkey").alias("book_id")))
+
+
+@query
+def C17_override_errors(spark, d):
+    return overrides.override_errors(overrides.Review(**B.review(spark, d)))
+
+
+@query
+def C17_reviewed_recommendations(spark, d):
+    return overrides.reviewed(overrides.Review(**B.review(spark, d)))
+
+
+@query
+def C31_confirmations(spark, d):
+    entries = B.table(spark, d, "events").select(F.col("user_id").alias("group_id"), F.when(F.col("event_type") == "purchase", "LocalExecutionConfirmation").otherwise("ExportedFormat").alias("kind"))
+    return journal.confirmation_faults(entries, entries)
+
+
+@query
+def C34_backup_files(spark, d):
+    k, n = F.col("book_id"), F.col("l_linenumber")
+    records = B.table(spark, d, "orders").select(F.col("o_orderkey").alias("book_id"), (F.col("o_orderkey") % 2 == 0).alias("has_cover")).distinct()
+    formats = B.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("book_id"), F.concat(F.lit("F"), F.col("l_linenumber").cast("string")).alias("format")).agg(F.min("l_partkey").cast("string").alias("sha256"))
+    files = B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("book_id"), "l_linenumber", F.col("l_partkey").cast("string").alias("sha256")).where((k + n) % 19 != 0)
+    none = F.lit(None).cast("string")
+    stored = [
+        files.select("book_id", F.concat(F.lit("book.f"), n.cast("string")).alias("name"), F.lit(False).alias("directory"), F.lit(1).alias("size"), F.when((k + n) % 23 == 0, "other").otherwise(F.col("sha256")).alias("sha256"), F.lit(True).alias("valid")),
+        records.where(k % 17 != 0).select("book_id", F.lit("metadata.opf").alias("name"), F.lit(False).alias("directory"), F.lit(1).alias("size"), none.alias("sha256"), (k % 29 != 0).alias("valid")),
+        records.where(k % 41 == 0).select("book_id", F.lit("second.OPF").alias("name"), F.lit(False).alias("directory"), F.lit(1).alias("size"), none.alias("sha256"), F.lit(True).alias("valid")),
+        records.where((k % 2 == 0) & (k % 7 != 0) | (k % 13 == 0)).select("book_id", F.lit("Cover.jpg").alias("name"), F.lit(False).alias("directory"), (k % 31).cast("int").alias("size"), none.alias("sha256"), F.lit(True).alias("valid")),
+        records.where(k % 43 == 0).select("book_id", F.lit("notes").alias("name"), (k % 2 == 0).alias("directory"), F.lit(1).alias("size"), none.alias("sha256"), F.lit(True).alias("valid")),
+    ]
+    return journal.classify_backup(records, formats, reduce(DataFrame.unionByName, stored))

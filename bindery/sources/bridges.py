@@ -93,3 +93,34 @@ def snapshot(spark: SparkSession, d: str, after: bool) -> DataFrame:
     if not after:
         return rows
     return rows.where("book_id % 50 <> 1").withColumn("title", F.when(F.col("book_id") % 50 == 2, "changed").otherwise(F.col("title"))).withColumn("publisher", F.when(F.col("book_id") % 50 != 3, F.col("publisher")))
+
+
+def assessment_headers(spark: SparkSession, d: str) -> DataFrame:
+    """One assessment per EPUB candidate's record and path; some are absent, of older bytes or by another analyzer."""
+    key = F.col("l_orderkey") * 31 + F.col("l_linenumber") * 7
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.when(F.col("l_suppkey") % 13 != 0, F.sha2((F.col("l_suppkey") % 3).cast("string"), 256))).alias("sha256"))
+    out = (key % 5 < 2) | (key % 11 == 0)
+    return lines.where(key % 17 != 0).select(
+        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("book_id"), F.lit("EPUB").alias("format"), F.concat(F.lit("a/b"), F.col("l_linenumber").cast("string")).alias("path"), F.when(out, "Disqualified").otherwise("Completed").alias("status"),
+        F.when(~out, (key % 101).cast("int")).alias("score"), F.when(key % 19 == 0, "1.1").otherwise("1.0").alias("analyzer"), F.lit("1.0").alias("model"), F.when(key % 23 == 0, "old").otherwise(F.col("sha256")).alias("sha256"),
+    )
+
+
+def review(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Recommendations over a customer's orders and overrides of them, right and wrong in every way, by the keys' remainders."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("book_id"), F.col("o_orderstatus").alias("format"))
+    g, b = F.col("group_id"), F.col("book_id")
+    candidates = orders.select("group_id", "format", "book_id", F.when(b % 9 == 0, "Missing").otherwise("Present").alias("status"))
+    selections = candidates.where("status = 'Present'").groupBy("group_id", "format").agg(F.min("book_id").alias("source_id"))
+    ends = orders.groupBy("group_id").agg(F.min("book_id").alias("first"), F.max("book_id").alias("last"))
+    asked = F.array(*map(F.lit, ["Unreviewed", "Accepted", "ManuallyAdjusted", "Deferred", "KeepSeparate", "NotDuplicates", "Odd"]))
+    action = F.when(g % 16 == 1, "Other").when(g % 3 == 0, "SelectSource").when(g % 3 == 1, "MarkUnresolved").otherwise("ExcludeFinalFormat")
+    source = F.when(F.col("action") == "SelectSource", F.when(g % 10 < 7, F.col("source_id")).otherwise(-1)).when(g % 13 == 0, F.lit(5).cast("long"))
+    odd = ends.where((g % 29 == 3) | (g % 31 == 4)).select("group_id", F.when(g % 29 == 3, " ").otherwise("ZIP").alias("format"), F.lit("MarkUnresolved").alias("action"), F.lit(None).cast("long").alias("source_id"))
+    return {
+        "generated": ends.select("group_id", F.lit("1").alias("model"), (g % 7).alias("input"), F.col("first").alias("source_id")),
+        "members": orders.select("group_id", "book_id"), "selections": selections, "candidates": candidates, "separated": orders.where(b % 37 == 0).select("group_id", "book_id"),
+        "overrides": ends.select("group_id", asked[(g % 7).cast("int")].alias("requested"), F.lit("1").alias("model"), F.when(g % 11 == 0, -1).otherwise(g % 7).alias("input"), F.when(g % 5 == 1, F.col("last")).when(g % 5 == 2, 0).alias("source_id")),
+        "formats": selections.where(g % 4 == 1).withColumn("action", action).select("group_id", "format", "action", source.alias("source_id")).unionByName(odd),
+        "retained": orders.where(b % 23 == 0).select("group_id", "book_id").unionByName(ends.where(g % 41 == 0).select("group_id", F.lit(-7).cast("long").alias("book_id"))),
+    }

@@ -83,6 +83,42 @@ def backup_gaps(required: DataFrame, entries: DataFrame) -> DataFrame:
     return want.join(have, on, "left_anti")
 
 
+def confirmation_faults(executions: DataFrame, entries: DataFrame) -> DataFrame:
+    """(group_id, code, n) of executions without exactly one local confirmation among their backup entries (group_id, kind)."""
+    said = entries.where("kind = 'LocalExecutionConfirmation'").groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    joined = executions.select("group_id").distinct().join(said, "group_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return joined.where("n <> 1").select("group_id", F.lit("EXECUTION.BACKUP_CONFIRMATION_MISSING").alias("code"), "n")
+
+
+def classify_backup(records: DataFrame, formats: DataFrame, stored: DataFrame) -> DataFrame:
+    """(book_id, format, code): what is wrong with the exported files of each record, every fault once.
+
+    `records` (book_id, has_cover), `formats` (book_id, format, sha256) are expected;
+    `stored` (book_id, name, directory, size, sha256, valid) found, `valid` for a bounded
+    metadata file.  A record needs one valid OPF, a cover if and only if it has one, and
+    each format once with the expected bytes; any other file and any directory is extra.
+    """
+    extension = F.upper(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    want = formats.select("book_id", "format", F.col("sha256").alias("_want")).withColumn("_expected", F.lit(True))
+    found = stored.join(records.select("book_id").distinct(), "book_id", "left_semi").withColumn("format", extension).join(want, ["book_id", "format"], "left")
+    kind = F.when(F.col("directory"), "Extra").when(F.col("format") == "OPF", "Opf").when(F.lower("name") == "cover.jpg", "Cover").when(F.col("_expected"), "Format").otherwise("Extra")
+    found = found.withColumn("_kind", kind)
+    is_ = lambda k: F.col("_kind") == k
+    of = found.groupBy("book_id").agg(F.count_if(is_("Opf")).alias("opf"), F.bool_or(is_("Opf") & ~F.col("valid")).alias("bad"), F.count_if(is_("Cover")).alias("cover"), F.bool_or(is_("Cover") & (F.col("size") <= 0)).alias("hollow"), F.bool_or(is_("Extra")).alias("extra"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    codes = F.array_compact(F.array(
+        F.when(n("opf") == 0, "EXECUTION.BACKUP_METADATA_MISSING").when((n("opf") > 1) | yes("bad"), "EXECUTION.BACKUP_METADATA_INVALID"),
+        F.when(F.col("has_cover") & (n("cover") == 0), "EXECUTION.BACKUP_COVER_MISSING").when((n("cover") > 1) | ((n("cover") == 1) & (~F.col("has_cover") | yes("hollow"))), "EXECUTION.BACKUP_COVER_INVALID"),
+        F.when(yes("extra"), "EXECUTION.UNMODELED_EXTRA_DATA"),
+    ))
+    of_record = records.join(of, "book_id", "left").select("book_id", F.lit(None).cast("string").alias("format"), F.explode(codes).alias("code"))
+    exported = found.where(is_("Format")).groupBy("book_id", "format").agg(F.count(F.lit(1)).alias("n"), F.bool_and(yes(F.col("sha256") == F.col("_want"))).alias("equal"))
+    fault = F.when(F.col("n").isNull(), "EXECUTION.BACKUP_EXPORTED_FORMAT_MISSING").when((F.col("n") > 1) | ~F.col("equal"), "EXECUTION.BACKUP_EXPORTED_FORMAT_INVALID")
+    of_format = want.join(records.select("book_id"), "book_id", "left_semi").join(exported, ["book_id", "format"], "left").select("book_id", "format", fault.alias("code")).where("code IS NOT NULL")
+    return of_record.unionByName(of_format)
+
+
 def backup_bytes(files: DataFrame, key: str = "group_id") -> DataFrame:
     """(key, needed): three times the files and 64 MiB; beyond a long it is the largest long."""
     most = F.lit(2**63 - 1)

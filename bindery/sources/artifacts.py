@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -124,6 +125,73 @@ def inspect_reviews(texts: DataFrame) -> DataFrame:
     return texts.select("name", _failure("text").alias("code"))
 
 
+#: The plan policy that can be carried out, the states of a plan and an artifact's properties (fixed values).
+PLAN_POLICY, PLAN_STATES = "1.0", ("Draft", "Valid", "Blocked", "Approved", "Stale", "Revoked")
+PLAN_FIELDS = {"schema": str, "policy": str, "group_id": int, "state": str, "instructions": list, "issues": list, "history": list, "digest": str}
+INSTRUCTION = "kind string, book_id long, format string, reason string"
+
+
+def _body_digest(doc: dict) -> str:
+    """SHA-256 of a plan document without its digest, its properties in the order of their names."""
+    body = {k: v for k, v in doc.items() if k != "digest"}
+    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+@F.pandas_udf(StringType())
+def _sealed(text: pd.Series) -> pd.Series:
+    docs = text.map(json.loads)
+    return docs.map(lambda doc: json.dumps(doc | {"digest": _body_digest(doc)}))
+
+
+def plan_documents(plan: DataFrame, states: DataFrame) -> DataFrame:
+    """(group_id, text): one sealed document a plan, from its instructions (group_id, kind, book_id, format, reason) and (group_id, state).
+
+    The same rows give the same text.  A document is one value, as its readers need it;
+    the bounds below are those of one plan.
+    """
+    rows = plan.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("kind", "book_id", "format", "reason"))).alias("instructions"))
+    none = F.array().cast("array<string>")
+    body = F.struct(F.lit(PLAN_SCHEMA).alias("schema"), F.lit(PLAN_POLICY).alias("policy"), "group_id", "state", "instructions", none.alias("issues"), none.alias("history"))
+    return rows.join(states.select("group_id", "state"), "group_id").select("group_id", _sealed(F.to_json(body, {"ignoreNullFields": "false"})).alias("text"))
+
+
+def plan_failure(text: str | None) -> str | None:
+    """What a plan artifact fails with, or None: no schema, another schema, or anything malformed, out of bounds or altered."""
+    try:
+        doc = parse(text)
+    except ValueError:
+        return "CLEANUP_PLAN_JSON_INVALID"
+    if not isinstance(doc, dict) or doc.get("schema") is not None and not isinstance(doc["schema"], str):
+        return "CLEANUP_PLAN_JSON_INVALID"
+    if doc.get("schema") is None:
+        return "CLEANUP_PLAN_SCHEMA_REQUIRED"
+    if doc["schema"] != PLAN_SCHEMA:
+        return "UNSUPPORTED_CLEANUP_PLAN_SCHEMA"
+    shaped = doc.keys() == PLAN_FIELDS.keys() and all(type(doc[k]) is kind for k, kind in PLAN_FIELDS.items()) and doc["state"] in PLAN_STATES
+    if not shaped or len(doc["instructions"]) > BOUNDS["rows"] or max(len(doc["issues"]), len(doc["history"])) > BOUNDS["issues"]:
+        return "CLEANUP_PLAN_JSON_INVALID"
+    kinds = {"kind": str, "book_id": int, "format": (str, type(None)), "reason": str}
+    sound = all(isinstance(i, dict) and i.keys() == kinds.keys() and all(isinstance(i[k], t) and not isinstance(i[k], bool) for k, t in kinds.items()) for i in doc["instructions"])
+    return None if sound and doc["digest"] == _body_digest(doc) else "CLEANUP_PLAN_JSON_INVALID"
+
+
+@F.pandas_udf(StringType())
+def _plan_failure(text: pd.Series) -> pd.Series:
+    return text.map(plan_failure)
+
+
+def read_plans(texts: DataFrame) -> DataFrame:
+    """(name, code, group_id, state, instructions) of plan artifacts (name, text); `code` is null for a sound one, the rest for any other.
+
+    A sound plan of another policy is read as Blocked, whatever state it states.
+    """
+    shape = f"policy string, group_id long, state string, instructions array<struct<{INSTRUCTION}>>"
+    judged = texts.select("name", "text", _plan_failure("text").alias("code"))
+    doc = judged.withColumn("d", F.when(F.col("code").isNull(), F.from_json("text", shape)))
+    state = F.when(F.col("d.policy") == PLAN_POLICY, F.col("d.state")).when(F.col("d").isNotNull(), "Blocked")
+    return doc.select("name", "code", "d.group_id", state.alias("state"), "d.instructions")
+
+
 def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Journal lines as the columns of `schema`, with `readable`: false for a line too long or not of that shape."""
     lines = spark.read.text(path).where("trim(value) <> ''")

@@ -234,6 +234,20 @@ def inspect(files: DataFrame, key: str = "path", content: str = "content") -> Da
     return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, {FACTS}").withColumnRenamed("key", key)
 
 
+def summary(facts: DataFrame, key: str = "path", most: int = 100, cut: int = 512) -> DataFrame:
+    """(key, ...): the bounded copy of an inspection that an assessment keeps; lists end at `most` values of `cut` characters.
+
+    `opened` and `parsed` are false where a problem stopped the inspection before; counts are of the whole file.
+    """
+    short = lambda c: F.transform(F.slice(c, 1, most), lambda v: F.substring(v, 1, cut))
+    stopped = lambda *codes: F.arrays_overlap("problems", F.array(*map(F.lit, codes)))
+    opened = ~stopped("CannotOpen", "Unreadable", "UnsafeArchive", "ChangedDuringInspection")
+    return facts.select(
+        key, opened.alias("opened"), (opened & (F.size("problems") == 0)).alias("parsed"), F.substring("title", 1, cut).alias("title"), *[short(c).alias(c) for c in ("authors", "languages", "dates", "identifiers")], "strong_identifier", "cover", "cover_width", "cover_height", "navigation",
+        F.col("spine").alias("spine_items"), F.col("entries").alias("local_resources"), F.size("missing_spine").alias("missing_spine_items"), F.size("empty_chapters").alias("empty_chapters"), F.size("broken_refs").alias("broken_references"), F.col("chars").alias("readable_characters"), "encryption",
+    )
+
+
 def entries(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """(key, name, size, packed, encrypted): the entries of each archive; what is no archive has none."""
 

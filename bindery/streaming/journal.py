@@ -29,22 +29,44 @@ def line_hash(execution_id, sequence: int, previous: str, kind: str, payload: st
     return hashlib.sha256(f"{execution_id}|{sequence}|{previous}||{kind}|{payload}".encode()).hexdigest()
 
 
-def chained(events: DataFrame) -> DataFrame:
+def chained(events: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """LINE rows of (execution_id, sequence, kind, payload): each entry's hash covers its predecessor's.
 
-    A chain is sequential by nature, so one journal is one group of applyInPandas.
+    With `last` (execution_id, sequence, entry_hash) the new entries follow a journal's
+    last one and are numbered on from it; else sequences are kept.  A chain is
+    sequential by nature, so one journal is one group of applyInPandas.
     """
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sequence")
-        previous, out = GENESIS, []
-        for r in rows.itertuples():
-            own = line_hash(r.execution_id, r.sequence, previous, r.kind, r.payload)
-            out.append((r.execution_id, r.sequence, previous, own, r.kind, r.payload))
-            previous = own
+        out = []
+        for place, r in enumerate(rows.itertuples(), 1):
+            previous = out[-1][3] if out else r.start
+            sequence = r.sequence if r.number < 0 else int(r.number) + place
+            out.append((r.execution_id, sequence, previous, line_hash(r.execution_id, sequence, previous, r.kind, r.payload), r.kind, r.payload))
         return pd.DataFrame(out, columns=["execution_id", "sequence", "previous_hash", "entry_hash", "kind", "payload"])
 
-    return events.groupBy("execution_id").applyInPandas(link, LINE)
+    rows = events.select("execution_id", "sequence", "kind", "payload")
+    if last is None:
+        rows = rows.withColumns({"start": F.lit(GENESIS), "number": F.lit(-1).cast("long")})
+    else:
+        ends = last.select("execution_id", F.col("entry_hash").alias("start"), F.col("sequence").alias("number"))
+        rows = rows.join(ends, "execution_id", "left").withColumns({"start": F.coalesce("start", F.lit(GENESIS)), "number": F.coalesce("number", F.lit(0).cast("long"))})
+    return rows.groupBy("execution_id").applyInPandas(link, LINE)
+
+
+def append(events: DataFrame, path: str) -> None:
+    """Add events (execution_id, sequence, kind, payload), in the order of `sequence`, to the journals in a folder of JSON lines.
+
+    Each journal's chain is continued from its last entry; one that the folder does not
+    hold begins anew, and so does a folder that is empty or not there.  The lines appear together when the job commits.
+    One writer at a time: a journal's lease is its caller's.
+    """
+    spark = events.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    last = spark.read.schema(LINE).json(path).groupBy("execution_id").agg(F.max("sequence").alias("sequence"), F.max_by("entry_hash", "sequence").alias("entry_hash")) if there else None
+    chained(events, spark.createDataFrame([], "execution_id long, sequence long, entry_hash string") if last is None else last).write.mode("append").json(path)
 
 
 def verified(lines: DataFrame) -> DataFrame:

@@ -201,6 +201,11 @@ def test_epub_inspection_scores_100(spark):
     scores = {r.book_id: (r.status, r.score) for r in scoring.score(scoring.findings(found, ["book_id"]), ["book_id"]).collect()}
     assert scores == {1: ("Completed", 100), 2: ("Disqualified", None), 3: ("Disqualified", None)}
     assert epub.entries(files, key="book_id").count() == 6
+    (kept,) = epub.summary(found.where("size(problems) = 0").limit(1), key="book_id").collect()
+    assert (kept.opened, kept.parsed, kept.spine_items, kept.broken_references, kept.empty_chapters, kept.cover) == (True, True, 1, 0, 0, True)
+    wide = found.limit(1).withColumn("authors", F.array_repeat(F.repeat(F.lit("x"), 600), 200)).withColumn("problems", F.array(F.lit("UnsafeArchive")))
+    (kept,) = epub.summary(wide, key="book_id").collect()
+    assert (kept.opened, kept.parsed, len(kept.authors), {len(a) for a in kept.authors}) == (False, False, 100, {512})
 
 
 @pytest.mark.parametrize(

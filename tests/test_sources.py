@@ -111,3 +111,38 @@ def test_manifest_seal(spark):
 @pytest.mark.parametrize("text", ["1", "null", '"x"'])
 def test_artifacts_that_are_no_objects(text):
     assert A.review_failure(text) == "MALFORMED_JSON"
+
+
+def test_plan_documents(spark):
+    rows = [(1, "Retention", 7, "EPUB", "RetainInTarget"), (1, "RecordRemoval", 8, None, "NotTarget"), (2, "Backup", 9, "PDF", "Förmat")]
+    plan = spark.createDataFrame(rows, "group_id long, kind string, book_id long, format string, reason string")
+    states = spark.createDataFrame([(1, "Valid"), (2, "Approved"), (3, "Draft")], "group_id long, state string")
+    first, second = (A.plan_documents(df, states).orderBy("group_id").collect() for df in (plan, plan.orderBy("reason").repartition(3)))
+    assert [r.text for r in first] == [r.text for r in second] and len(first) == 2
+    text = first[0].text
+    resealed = lambda **c: json.dumps((d := json.loads(text) | c) | {"digest": A._body_digest(d)})
+    invalid, unsupported = "CLEANUP_PLAN_JSON_INVALID", "UNSUPPORTED_CLEANUP_PLAN_SCHEMA"
+    deep = {"kind": "x", "book_id": 1, "format": None, "reason": [[]]}
+    cases = [
+        (text, None), (first[1].text, None), (resealed(policy="2.0"), None), (text.replace("Valid", "Approved"), invalid), (resealed(state="x"), invalid), (resealed(extra=1), invalid), (resealed(schema="x"), unsupported), (resealed(schema=None), "CLEANUP_PLAN_SCHEMA_REQUIRED"),
+        (resealed(schema=1), invalid), (resealed(issues=[""] * 10_001), invalid), (resealed(instructions=[deep]), invalid), (resealed(instructions=[1]), invalid), (resealed(group_id=True), invalid), (None, invalid), ("[]", invalid), ("{", invalid), ('{"schema": "a", "schema": "b"}', invalid), ("[" * 70 + "]" * 70, invalid),
+    ]
+    found = A.read_plans(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "name int, text string")).orderBy("name").collect()
+    assert [r.code for r in found] == [c for _, c in cases]
+    assert [(r.group_id, r.state) for r in found[:4]] == [(1, "Valid"), (2, "Approved"), (1, "Blocked"), (None, None)]
+    assert [tuple(i) for i in found[0].instructions] == [("RecordRemoval", 8, None, "NotTarget"), ("Retention", 7, "EPUB", "RetainInTarget")]
+    assert A.read_plans(spark.createDataFrame([], "name int, text string")).collect() == []
+
+
+def test_journals_grow(spark, tmp_path):
+    from bindery.streaming import journal as J
+
+    at = str(tmp_path / "journals")
+    event = lambda *rows: spark.createDataFrame(list(rows), "execution_id long, sequence long, kind string, payload string")
+    J.append(event((1, 5, "Created", "a"), (1, 9, "MutationStarted", "b"), (2, 1, "Created", "")), at)
+    J.append(event((1, 1, "TerminalSummary", "c"), (3, 1, "Created", "d")), at)
+    J.append(event(), at)
+    lines = J.verified(spark.read.schema(J.LINE).json(at)).orderBy("execution_id", "sequence").collect()
+    assert [(r.execution_id, r.sequence, r.kind, r.valid) for r in lines] == [(1, 1, "Created", True), (1, 2, "MutationStarted", True), (1, 3, "TerminalSummary", True), (2, 1, "Created", True), (3, 1, "Created", True)]
+    J.append(event((1, 1, "Late", "e")), at)
+    assert [r.valid for r in J.verified(spark.read.schema(J.LINE).json(at)).orderBy("execution_id", "sequence").collect()] == [True, True, True, False, True, True]

@@ -29,6 +29,11 @@ def sample(labels: DataFrame, id_col: str, label: str, bound: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
+def one_each(rows: DataFrame, value: str) -> DataFrame:
+    """`rows` (doc_id, label, value), one an id: the least value of a repeated id, so that a sample's bound holds whatever rows share an id."""
+    return rows.groupBy("doc_id", "label").agg(F.min(value).alias(value))
+
+
 def batches(column: pa.Array, bytes_at_once: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column with about so much text each."""
     sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)

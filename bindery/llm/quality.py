@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._boost import FlatTrees, fit
-from ._labelled import batches, sample, with_score
+from ._labelled import batches, one_each, sample, with_score
 from ._text import Words, column_bytes
 
 FEATURES = (
@@ -100,11 +100,15 @@ def _feature_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", bound: int = 20_000, trees: int = 80, depth: int = 4) -> FlatTrees:
-    """Fit on a sample of at most about `bound` labelled documents; only their FEATURES reach the driver."""
+    """Fit on a sample of at most about `bound` labelled documents; only their FEATURES reach the driver.
+
+    Rows of one id are one document: that with the least features.  Rows without an id
+    have no label; without labelled rows, or with one label alone, the score is a constant.
+    """
     chosen = sample(labels, id_col, label, bound)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_feature_rows, "doc_id long, label int, x array<double>")
-    got = rows.toArrow()
+    got = one_each(rows, "x").toArrow()
     x = np.asarray(got["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES)) if got.num_rows else np.zeros((0, len(FEATURES)))
     y, ids = got["label"].to_numpy().astype(float), got["doc_id"].to_numpy()
     order = np.lexsort((*x.T[::-1], ids)) if len(ids) else np.empty(0, int)  # the same model whatever the partitions
@@ -114,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: FlatTrees, text_col: str = "text", output: str = "score") -> DataFrame:
     """`docs` with the column `output`: the probability of good quality, from the whole text.
 
-    A null or empty text is scored from features of zero.  Other columns are kept;
-    an `output` column that is there already is replaced (by exact name).
+    A null or empty text is scored from features of zero, an empty table stays empty.
+    Other columns are kept; an `output` column that is there already is replaced (by exact name).
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return with_score(docs, text_col, output, lambda: lambda text: held.value.score(features(text)))

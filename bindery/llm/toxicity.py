@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ._labelled import batches, sample, with_score
+from ._labelled import batches, one_each, sample, with_score
 from ._text import U64, Words, column_bytes, mix, pair, span_hashes
 
 BITS = 20
@@ -93,7 +93,12 @@ def _item_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", bound: int = 8_000) -> SparseModel:
-    """Fit on at most about `bound` labelled documents of either label; the intercept is set right for all labelled rows."""
+    """Fit on at most about `bound` labelled documents of either label; the intercept is set right for all labelled rows.
+
+    Rows of one id are one document: that with the least items.  Rows without an id have
+    no label; without rows of both labels the score is their rate.  The driver holds the
+    items of the sample's whole texts, so its memory is bounded by `bound` times these.
+    """
     size = {r["label"]: r["count"] for r in sample(labels, id_col, label, 1 << 62).groupBy("label").count().collect()}
     if not size.get(0) or not size.get(1):
         rate = (size.get(1, 0) + 0.5) / (sum(size.values()) + 1.0)
@@ -104,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = some if chosen is None else chosen.unionByName(some)
     chosen = chosen.groupBy("doc_id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_item_rows, "doc_id long, label int, items array<int>").toArrow().combine_chunks()
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_item_rows, "doc_id long, label int, items array<int>")
+    got = one_each(rows, "items").toArrow().combine_chunks()
     lists = got["items"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
     cut, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -122,8 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: SparseModel, text_col: str = "text", output: str = "score") -> DataFrame:
     """`docs` with the column `output`: the probability that the whole text is toxic.
 
-    A null or empty text has the intercept's score.  Other columns are kept; an
-    `output` column that is there already is replaced (by exact name).
+    A null or empty text has the intercept's score, an empty table stays empty.  Other
+    columns are kept; an `output` column that is there already is replaced (by exact name).
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -97,6 +97,20 @@ def test_ftrl_against_a_loop_over_coordinates():
     assert got[100] < 0 < got[101] and 0 < np.count_nonzero(got) < 33
 
 
+@pytest.mark.parametrize("model", ["quality", "toxicity"])
+def test_rows_of_one_labelled_id_are_learnt_once(spark, model):
+    """A third of all rows under one id changes nothing: they are equal, so the model is that of distinct rows."""
+    from bindery.llm import quality, toxicity
+
+    module, label = (quality, "quality") if model == "quality" else (toxicity, "toxic")
+    rows = [(i, " ".join(cases.words(i, 30)) + (" zap" * (i % 2))) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], f"doc_id long, {label} int")
+    docs, texts = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, t) for i, t in rows[:10]], "i long, text string")
+    many = docs.unionByName(docs.where("doc_id = 7").crossJoin(spark.range(60)).drop("id"))
+    one, other = ([r.score for r in module.score(texts, module.train(d, labels)).orderBy("i").collect()] for d in (docs, many))
+    assert one == other
+
+
 def test_toxic_labels_of_held_out_rows_do_not_matter(spark):
     docs, labels = labelled(spark, True)
     flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))

@@ -13,14 +13,21 @@ shingle moves a fingerprint no more than distinct ones do.
    and every window of a length with enough marks is taken.  Moving a window's
    start to its first marked place, or back to the last window that fits, never
    lowers the similarity, so no other start is needed.  Nothing is lost here.
-2. Which item it is, the index alone tells.  Equal windows of all documents
-   become one, with a fingerprint of BITS = 512 bits; 56 blocks of 9 or 10 bits
-   find the items of its length that have an equal block.  That is every item
-   within 55 bits for certain.  At a similarity of exactly 0.8 fingerprints differ
-   by 78 bits with a deviation of 8, and odds that no block is equal are 8e-7;
-   two unrelated texts (256 bits apart) meet with odds of a tenth.
-3. Those within `radius` bits (six deviations above 78) are judged by their full
-   features, and hits go back to all places of the window.
+2. Which item it is, the index tells.  Equal windows of all documents become
+   one, with a fingerprint of BITS = 512 bits; 56 blocks of 9 or 10 bits find the
+   items of its length that have an equal block.  That is every item within 55
+   bits for certain.  At a similarity of exactly 0.8 fingerprints of many features
+   differ by 78 bits with a deviation of 8, and odds that no block is equal are
+   8e-7, but those of four and five features differ by 96; two unrelated texts
+   (256 bits apart) meet with odds of a tenth.  Those within `radius` bits are judged.
+3. What the index leaves is found exactly, at any `percent`: sets of n and w
+   features that reach it share at least s = percent * (n + w) / (100 + percent), so in
+   any one order the first n - s + 1 and the first w - s + 1 have one in common.
+   The order is from the rarest feature of the benchmark to the commonest, so that
+   passages which many items share bring few pairs.  So `radius` and the blocks decide
+   which way finds a pair, never whether it is found.
+4. Full features judge the pairs of both ways, and hits go back to all places of
+   the window.
 """
 
 from __future__ import annotations
@@ -139,22 +146,25 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     # equal windows once; their items by the blocks
     windows = cuts.groupBy("window").agg(F.first("length").alias("length"), F.first("features").alias("features")).withColumn("print", fingerprint("features"))
     windows = written(windows)  # the optimiser would compute a fingerprint again for each use
-    indexed = per_item.select("item", "length", fingerprint("item_features").alias("item_print"))
-    indexed = written(indexed, compact=True).withColumn("item_blocks", block_values("item_print"))
-    index = indexed.select("item", "length", "item_print", "item_blocks", F.posexplode_outer("item_blocks").alias("block", "value"))
+    indexed = written(per_item.select("item", "length", "item_features", fingerprint("item_features").alias("item_print")), compact=True)
+    index = indexed.select("item", "length", "item_print", block_values("item_print").alias("item_blocks"))
+    index = index.select("*", F.posexplode_outer("item_blocks").alias("block", "value"))
     probed = windows.select("window", "length", "print", block_values("print").alias("blocks"))
     probes = probed.select("*", F.posexplode_outer("blocks").alias("block", "value"))
     at = ["length", "block", "value"]
     near = probes.join(F.broadcast(index.drop("item_blocks")), at) if small else dealt_join(probes, index.drop("item_blocks"), at, F.col("window"), tally(probes, at), piece(56 * windows.count()))
-    near = near.withColumn("distance", distance("print", "item_print")).where(F.col("distance") <= radius)
+    near = near.where(distance("print", "item_print") <= radius)
     first_equal = F.array_position(F.zip_with("blocks", block_values("item_print"), lambda x, y: x == y), True) - 1
-    near = written(near.where(F.col("block") == first_equal).select("window", "item", "distance"), compact=True)  # one row per window and item
+    near = written(near.where(F.col("block") == first_equal).select("window", "item"), compact=True)  # one row per window and item
 
-    # full features decide
-    both = near.join(windows.select("window", "features"), "window")
-    judged = _with_items(both, per_item.select("item", "item_features"), small, near)
+    # the pairs that the index leaves; then full features decide
+    left = _sharing(windows, indexed, percent, width, small).join(near, ["window", "item"], "left_anti")
+    near = written(near.unionByName(left), compact=True)
+    both = near.join(windows.select("window", "features", "print"), "window")
+    judged = _with_items(both, indexed.drop("length"), small, near)
     judged = judged.withColumn("shared", F.size(F.array_intersect("features", "item_features"))).withColumn("either", F.expr("size(features) + size(item_features) - shared"))
-    hits = written(judged.where(100 * F.col("shared") >= percent * F.col("either")).select("window", "item", "distance", (F.col("shared") / F.col("either")).alias("similarity")), compact=True)
+    hits = judged.where(100 * F.col("shared") >= percent * F.col("either"))
+    hits = written(hits.select("window", "item", distance("print", "item_print").alias("distance"), (F.col("shared") / F.col("either")).alias("similarity")), compact=True)
     places = cuts.select("doc_id", "n_words", "length", "start", "head", "window")
     found = dealt_join(places, hits, ["window"], F.struct("doc_id", "start"), tally(cuts, ["window"]), piece(cuts.count()))
     found = _with_items(found, per_item.select("item", "item_shingles"), small, found)
@@ -165,6 +175,30 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     return named.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start"), F.col("best.n_words").cast("long").alias("n_words"), "best.similarity", F.col("best.distance").cast("int").alias("distance")).distinct()
 
 
+def _sharing(windows: DataFrame, items: DataFrame, percent: int, width: int, small: bool) -> DataFrame:
+    """(window, item): every pair of one length that can reach `percent`, by the rarest features of both (step 3)."""
+    key = ["length", "feature"]
+    each = items.select("item", "length", F.explode_outer("item_features").alias("feature"))
+    often = written(tally(each, key), compact=True)
+    total = each.count()
+    each = each.join(F.broadcast(often), key) if small else dealt_join(each, often, key, F.col("item"), often, piece(total))
+    ranked = each.groupBy("item", "length").agg(F.sort_array(F.collect_list(F.struct("_n", "feature"))).alias("known"))
+    # a window has no more features than the item, so `percent` of the item's is the least that they share
+    first = F.expr(f"slice(known, 1, CAST(size(known) - ({percent} * size(known) + 99) DIV 100 + 1 AS INT))")
+    ranked = ranked.select("item", "length", F.size("known").alias("n"), F.posexplode_outer(first).alias("before", "f"))
+    ranked = ranked.select("item", "length", F.expr("n - before").alias("rest"), F.col("f.feature").alias("feature"))
+
+    # features that no item has come first in a window's order and meet nothing: those that it has are enough
+    spread = windows.select("window", "length", F.size("features").alias("w"), F.explode_outer("features").alias("feature"))
+    known = spread.join(F.broadcast(often), key) if small else dealt_join(spread, often, key, F.col("window"), tally(spread, key), piece(spread.count()))
+    known = known.groupBy("window", "length", "w").agg(F.sort_array(F.collect_list(F.struct("_n", "feature"))).alias("known"))
+    known = known.withColumn("least", F.expr(f"CAST(({percent} * (length - least(length, {width}) + 1 + w) + {99 + percent}) DIV {100 + percent} AS INT)")).where("size(known) >= least")
+    probes = known.select("window", "length", "least", F.explode_outer(F.expr("slice(known, 1, size(known) - least + 1)")).alias("f"))
+    probes = written(probes.select("window", "length", "least", F.col("f.feature").alias("feature")), compact=True)
+    met = probes.join(F.broadcast(ranked), key) if small else dealt_join(probes, ranked, key, F.col("window"), tally(probes, key), piece(probes.count()))
+    return met.where("rest >= least").select("window", "item").distinct()
+
+
 def _with_items(rows: DataFrame, items: DataFrame, small: bool, counted: DataFrame) -> DataFrame:
     """`rows` with the columns of their items; an item that many rows have is dealt."""
     if small:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from bindery.llm import warc
+from bindery.llm import decontaminate, warc
 from bindery.llm.decontaminate import benchmark_hits
 from bindery.llm.queries import op1_warc, vocabulary
 
@@ -133,6 +133,33 @@ def test_decontamination_against_brute_force(spark):
     assert not re.search("Python|Pandas|Arrow(?!Eval)", re.sub("ArrowEvalPython", "Python", plan))
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_decontamination_finds_what_the_index_leaves(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    # similarity 0.8 with a distance beyond the radius, or without an equal block
+    far = [3037, 7859, 11449, 12586, 24564, 31114]
+    items = [(i, " ".join(f"v{i}x{j}" for j in range(9))) for i in far] + [(97488, " ".join(f"v97488x{j}" for j in range(49)))]
+    docs = [(i, t.rsplit(" ", 1)[0]) for i, t in items[:-1]] + [(97488, items[-1][1].rsplit(" ", 5)[0] + " zz97488 yy97488 xx97488 ww97488 uu97488")]
+    found = benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start) for r in found} == leaks(docs, items) == {(i, i): (0.8, 0) for i, _ in items}
+    assert any(r.distance > decontaminate.RADIUS for r in found)
+
+    # other thresholds, items that share most of their text, and an index that finds next to nothing
+    rng = random.Random(11)
+    items = [(i, " ".join(cases.words(3, 20, 100) + cases.words(60 + i, n, 100))) for i, n in enumerate([5, 5, 10, 10, 30])] + [(i, " ".join(cases.words(80 + i, i, 40))) for i in (3, 8, 9, 9, 25)]
+    docs = []
+    for i in range(60):
+        w = cases.words(2000 + i, rng.randint(0, 40), 100)
+        p = rng.choice(items)[1].split()
+        p[-1 - rng.randrange(len(p)) // 4] = f"edit{i}"
+        at = rng.randint(0, len(w)) if i % 3 else 0
+        docs.append((i, " ".join(w[:at] + p[: len(p) - rng.randint(0, 1)] + w[at:] * (i % 3 > 0))))
+    for percent, radius in [(80, 0), (50, decontaminate.RADIUS)]:
+        found = benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), percent=percent, radius=radius).collect()
+        expected = leaks(docs, items, percent=percent)
+        assert {(r.doc_id, r.item_id): (r.similarity, -r.start) for r in found} == expected and len(expected) > 5
+
+
 def test_decontamination_without_rows(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert benchmark_hits(cases.empty(spark), items).collect() == []

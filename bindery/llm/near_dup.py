@@ -31,10 +31,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.skew import dealt_join, piece
+from ..operators.skew import piece
 from . import _chunks as C, _setsketch as S
 from ._labelled import batches
-from ._skew import components, tally
+from ._skew import components, hot_join, hot_keys, tally
 from ._store import release, written
 from ._text import Words, column_bytes, mix, pack_sorted, pair, runs, unpack_sorted, windows
 
@@ -274,17 +274,19 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.xxhash64("key", "doc").alias("h"), "doc")).alias("least")).where("_n > 1")
     buckets = written(buckets.select("key", "_n", F.col("least.doc").alias("leader")), compact=True)
     rows = piece(buckets.agg(F.sum("_n")).first()[0] or 0)
-    members = written(dealt_join(bands, buckets.drop("_n"), ["key"], F.col("doc"), buckets.select("key", "_n"), rows))
+    members = written(hot_join(bands, buckets.drop("_n"), ["key"], F.col("doc"), hot_keys(buckets, ["key"], rows), rows))
 
     # every member and its bucket's leader
     pairs = written(members.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), compact=True)
     with_a = pairs.join(sketch.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra")), "a")
     leaders = sketch.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb")).join(pairs.select("b").distinct(), "b", "left_semi")
-    with_b = dealt_join(with_a, leaders, ["b"], F.col("a"), tally(pairs, ["b"]), piece(pairs.count()))
+    per = piece(pairs.count())
+    with_b = hot_join(with_a, leaders, ["b"], F.col("a"), hot_keys(tally(pairs, ["b"]), ["b"], per), per)
     near = written(with_b.select("a", "b", "na", "ra", "nb", "rb").mapInArrow(_likely(limit), "a long, b long"), compact=True)
     many = written(tally(near, ["b"]), compact=True)
     nj = _blocks("_n", BLOCK)
-    dealt = dealt_join(near, many.select("b", nj.alias("nj")), ["b"], F.col("a"), many, piece(near.count()))
+    per = piece(near.count())
+    dealt = hot_join(near, many.select("b", nj.alias("nj")), ["b"], F.col("a"), hot_keys(many, ["b"], per), per)
     queries = dealt.select(F.col("b").alias("g"), F.pmod(F.xxhash64(F.lit(1), "a"), F.col("nj")).cast("int").alias("j"), F.lit(1).alias("role"), F.col("a").alias("doc_id")).join(texts, "doc_id")
     asked = many.join(texts, F.col("b") == F.col("doc_id")).select("doc_id", F.col("b").alias("g"), _all(nj).alias("j"), F.lit(0).alias("role"), "text")
     verified = queries.unionByName(asked).groupBy("g", "j").applyInArrow(_verify(width, percent), "a long, b long").where("a <> b")
@@ -297,7 +299,8 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     shares = tally(placed, ["key", "comp"])
     open_keys = shares.groupBy("key").agg(F.max(F.struct("_n", "comp")).alias("most"), F.sum("_n").alias("_n")).where("_n > most._n")
     open_keys = written(open_keys.select("key", "_n", F.col("most.comp").alias("largest"), _blocks("_n", SKETCH_BLOCK).alias("ni"), F.ceil((F.col("_n") - F.col("most._n")) / SKETCH_BLOCK).cast("int").alias("nj")), compact=True)
-    held = dealt_join(placed, open_keys.drop("_n"), ["key"], F.col("doc"), open_keys.select("key", "_n"), rows).withColumnRenamed("doc", "doc_id").join(sketch, "doc_id")
+    opened = written(hot_join(placed, open_keys.drop("_n"), ["key"], F.col("doc"), hot_keys(open_keys, ["key"], rows), rows).withColumnRenamed("doc", "doc_id"), compact=True)
+    held = opened.join(sketch, "doc_id")
     columns = ["key", "i", "j", "role", "doc_id", "comp", "n_shingles", "registers"]
     told = held.withColumn("i", _one("ni", 2)).withColumn("j", _all("nj")).withColumn("role", F.lit(0)).select(*columns)
     asking = held.where("comp <> largest").withColumn("j", _one("nj", 3)).withColumn("i", _all("ni")).withColumn("role", F.lit(1)).select(*columns)
@@ -306,14 +309,16 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
 
     # full sets of a cluster's documents, block against block, but for the largest component with itself
     sizes = tally(labels, ["comp"])
-    parts = dealt_join(labels, clusters, ["comp"], F.col("doc"), sizes, piece(labels.count())).select("cluster", "comp", F.col("doc").alias("doc_id"))
+    per = piece(labels.count())
+    parts = hot_join(labels, clusters, ["comp"], F.col("doc"), hot_keys(sizes, ["comp"], per), per).select("cluster", "comp", F.col("doc").alias("doc_id"))
     alone = clusters.join(sizes, "comp", "left_anti").select("cluster", "comp", F.col("comp").alias("doc_id"))
     held = written(parts.unionByName(alone).join(nodes.select("doc_id", "n_shingles"), "doc_id"), compact=True)
     each = held.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("w"))
     most = each.groupBy("cluster").agg(F.max(F.struct("_n", "comp", "w")).alias("most"), F.sum("_n").alias("_n"), F.sum("w").alias("w"))
     blocks = lambda n, w: F.ceil(F.greatest(n / CLUSTER_BLOCK, w / CLUSTER_SHINGLES)).cast("int")
     most = written(most.select("cluster", "_n", F.col("most.comp").alias("largest"), blocks(F.col("_n") - F.col("most._n"), F.col("w") - F.col("most.w")).alias("nj"), blocks(F.col("most._n"), F.col("most.w")).alias("nl")), compact=True)
-    dealt = dealt_join(held, most.drop("_n"), ["cluster"], F.col("doc_id"), most.select("cluster", "_n"), piece(held.count()))
+    per = piece(held.count())
+    dealt = hot_join(held, most.drop("_n"), ["cluster"], F.col("doc_id"), hot_keys(most, ["cluster"], per), per)
     dealt = dealt.withColumn("block", F.when(F.col("comp") == F.col("largest"), F.col("nj") + _one("nl", 4)).otherwise(_one("nj", 4)))
     dealt = dealt.select(F.col("cluster").alias("g"), "block", "nj", "nl", "doc_id", "comp").join(texts, "doc_id")
     packed = dealt.groupBy("g", "block").applyInArrow(_pack_block(width), "g long, block int, nj int, nl int, blob binary")
@@ -321,7 +326,7 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataF
     packed = packed.withColumn("other", others).select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "blob")
     more = packed.groupBy("g", "i", "j").applyInArrow(_verify_blocks(percent), "a long, b long")
     out = components(found.unionByName(more))
-    release(buckets, members, found, open_keys, held, most)
+    release(buckets, members, found, open_keys, opened, held, most)
     return out
 
 
@@ -343,11 +348,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = found.where(linkable)
     per = piece(found.count())
     copies = written(rows.groupBy(*prints).agg(F.min("doc_id").alias("same_as"), F.count(F.lit(1)).alias("_n")).where("_n > 1"), compact=True)
-    placed = dealt_join(rows.drop("registers"), copies.drop("_n"), prints, F.col("doc_id"), copies.drop("same_as"), per, "left").select("doc_id", "n_shingles", F.coalesce("same_as", "doc_id").alias("same_as"))
+    placed = hot_join(rows.drop("registers"), copies.drop("_n"), prints, F.col("doc_id"), hot_keys(copies, prints, per), per, "left").select("doc_id", "n_shingles", F.coalesce("same_as", "doc_id").alias("same_as"))
     placed = written(placed, compact=True)
     nodes = written(rows.join(placed.where("same_as <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "n_shingles", "registers"))
     labels = links(nodes, texts, width, percent).withColumnRenamed("doc", "same_as")
     own = F.coalesce("comp", "same_as")
-    linked = dealt_join(placed, labels, ["same_as"], F.col("doc_id"), tally(placed, ["same_as"]), per, "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    linked = hot_join(placed, labels, ["same_as"], F.col("doc_id"), hot_keys(tally(placed, ["same_as"]), ["same_as"], per), per, "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
     single = found.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(single)
